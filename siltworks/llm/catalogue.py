@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, sharding
+from . import embeddings, licences, minhash, mixing, packing, quality, secrets, sharding, substrings, urls
 
 QUERIES = {
+    "op1_rotation_codes": embeddings.query,
+    "op2_licence_lines": licences.query,
+    "op3_seed_and_extend": substrings.query,
     "op4_shard_best_fit": sharding.query,
     "op5_pack_best_fit": packing.query,
+    "op6_url_graph": urls.query,
     "op7_mix_curriculum": mixing.query,
     "op8_minmax_near_dedup": minhash.query,
+    "op9_forest_secrets": secrets.query,
+    "op10_risk_controlled": quality.query,
 }
 
 ORACLES: dict[str, str] = {}

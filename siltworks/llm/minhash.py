@@ -19,6 +19,8 @@ HASHES = 64
 ROWS = 4
 #: Of the 128 values, the fewest in common that a pair may have to be confirmed; at 0.8, 103 are expected (sd 4.5).
 LEAST_COMMON = 72
+#: One bit of each value: of the 128, most that a pair may differ in to be looked at; at 0.8, 13 are expected (sd 3.4).
+MOST_APART = 34
 #: Rounds in which members off their bucket's main component try a few of its members, before all are tried.
 PROBES = 2
 
@@ -54,20 +56,20 @@ def _sets(docs: DataFrame, words: int, sketch: bool) -> DataFrame:
                 if not sketch:
                     out.append((doc_id, s.view(np.int64)))
                 elif not len(s):
-                    out.append((doc_id, 0, 0, 0, None, None, None))
+                    out.append((doc_id, 0, 0, 0, None, None, None, None))
                 else:
                     sig = signature(s)
                     key = salt.copy()
                     for j in range(ROWS):
                         key = mixed(key * np.uint64(3) + sig[j::ROWS].astype(np.uint64))
-                    bits = np.packbits((sig[::2] >> np.uint32(9)).astype(np.uint8) & 1).view(np.int64)[0]
+                    bits = np.packbits((sig >> np.uint32(9)).astype(np.uint8) & 1).view(np.int64)
                     one, two = np.bitwise_xor.reduce(mixed(s)), np.add.reduce(mixed(s + np.uint64(1)))
-                    out.append((doc_id, len(s), int(one.view(np.int64)), int(two.view(np.int64)), key.view(np.int64), (sig >> np.uint32(24)).astype(np.uint8).tobytes(), int(bits)))
-            cols = ["doc_id", "n", "k1", "k2", "bands", "codes", "bits"] if sketch else ["id", "shingles"]
+                    out.append((doc_id, len(s), int(one.view(np.int64)), int(two.view(np.int64)), key.view(np.int64), (sig >> np.uint32(24)).astype(np.uint8).tobytes(), int(bits[0]), int(bits[1])))
+            cols = ["doc_id", "n", "k1", "k2", "bands", "codes", "bits", "more"] if sketch else ["id", "shingles"]
             got = pd.DataFrame(out, columns=cols)
-            yield got.assign(**{c: got[c].astype("Int64") for c in ("doc_id", "id", "bits") if c in cols})
+            yield got.assign(**{c: got[c].astype("Int64") for c in ("doc_id", "id", "bits", "more") if c in cols})
 
-    schema = "doc_id long, n long, k1 long, k2 long, bands array<long>, codes binary, bits long" if sketch else "id long, shingles array<long>"
+    schema = "doc_id long, n long, k1 long, k2 long, bands array<long>, codes binary, bits long, more long" if sketch else "id long, shingles array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
 
 
@@ -105,26 +107,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ided = found.where("doc_id IS NOT NULL AND n > 0")
     classes = settle(ided.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
     reps = ided.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "n"), ["doc_id", "k1", "k2", "n"], "left_semi")
-    spread = reps.select(F.col("doc_id").alias("id"), "n", "bits", F.explode("bands").alias("key"))
-    full = settle(spread.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub"), F.min_by("n", "id").alias("hn")).where("members > 1"))
+    spread = reps.select(F.col("doc_id").alias("id"), F.struct("n", "bits", "more").alias("s"), F.explode("bands").alias("key"))
+    full = settle(spread.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub"), F.min_by("s", "id").alias("hs")).where("members > 1"))
     buckets = settle(spread.join(full.drop("members"), "key"))
     ids = settle(buckets.select("id").distinct())
     codes = store(reps.select(F.col("doc_id").alias("id"), "codes").join(ids, "id", "left_semi"))
     texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
     sets = store(_sets(texts, words, sketch=False))
 
-    def sized(x: str, y: str) -> str:
-        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+    def close(x: str, y: str) -> str:
+        """Sizes that allow the similarity, and sketches that make it likely."""
+        apart = f"bit_count({x}.bits ^ {y}.bits) + bit_count({x}.more ^ {y}.more)"
+        return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {apart} <= {MOST_APART}"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
         return settle(_confirm(settle(_alike(pairs, codes)), sets, percent))
 
-    links = confirmed(buckets.where(sized("n", "hn")).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    links = confirmed(buckets.where(close("s", "hs")).select(F.col("hub").alias("a"), F.col("id").alias("b")))
     # Rows of one doc_id with several texts are joined by their id alone.
     tree = components(links)
     for turn in range(PROBES + 1):
-        named = buckets.drop("hub", "hn").join(tree, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        named = buckets.drop("hub", "hs").join(tree, "id", "left").withColumn("root", F.coalesce("root", "id"))
         sizes = named.groupBy("key", "root").agg(F.count("*").alias("c"))
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         apart = settle(named.join(settle(main).drop("parts"), "key"))
@@ -132,12 +136,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if off.isEmpty():
             break
         if turn < PROBES:
-            tried = apart.where("root = main").groupBy("key").agg(F.min_by(F.struct("id", "n", "bits"), F.xxhash64("id", "key", F.lit(turn))).alias("m"))
-            pairs = off.join(settle(tried), "key").where(sized("n", "m.n")).select(F.col("id").alias("a"), F.col("m.id").alias("b"))
+            tried = apart.where("root = main").groupBy("key").agg(F.min_by(F.struct("id", "s"), F.xxhash64("id", "key", F.lit(turn))).alias("m"))
+            pairs = off.join(settle(tried), "key").where(close("s", "m.s")).select(F.col("id").alias("a"), F.col("m.id").alias("b"))
         else:
-            x, y = off.alias("x"), apart.alias("y")
-            apart_ = F.expr("x.root <> y.root AND x.id <> y.id AND bit_count(x.bits ^ y.bits) <= 20 AND " + sized("x.n", "y.n"))
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart_).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            # A pair that meets in several buckets is taken in the first of its bands.
+            apart = settle(apart.join(reps.select(F.col("doc_id").alias("id"), "bands"), "id"))
+            x, y = apart.where("root <> main").alias("x"), apart.alias("y")
+            first = F.expr("element_at(array_intersect(x.bands, y.bands), 1) = x.key")
+            met = F.expr(f"x.key = y.key AND x.root <> y.root AND {close('x.s', 'y.s')}") & first
+            pairs = x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         more = confirmed(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)

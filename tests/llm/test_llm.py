@@ -1,0 +1,538 @@
+"""The ten operators against brute force on small fixtures, with nulls, empties, ties and repeats."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltworks.llm import embeddings, graph, licences, minhash, mixing, packing, quality, secrets, sharding, shingles, substrings, urls
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, pos string, key string"
+
+
+def docs(spark, texts, ids=None, source=lambda i: f"s{i % 3}", lang="en"):
+    rows = [((ids[i] if ids else i), t, lang, source(i), None if t is None else len(t), "x", "y", "z") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def corpus(seed=1, n=60, words=400, length=(1, 260)):
+    """Texts with copies, near copies, shared passages, blanks and nulls."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(words)]
+    passage = [r.choice(vocab) for _ in range(70)]
+    out = []
+    for i in range(n):
+        w = [r.choice(vocab) for _ in range(r.randint(*length))]
+        if i % 5 == 1:
+            at = r.randint(0, len(w))
+            w[at:at] = passage[r.randint(0, 10) : 60 + r.randint(0, 10)]
+        if i % 7 == 3 and out:
+            w = r.choice([x for x in out if x]).split()
+            for _ in range(max(1, len(w) // 60)):
+                w[r.randrange(len(w))] = r.choice(vocab)
+        if i % 9 == 4 and out:
+            w = r.choice([x for x in out if x]).split()
+        out.append(r.choice([" ", "\n", "\t "]).join(w))
+    return out + ["", None, " \n ", "one", "ONE", "one two three", "w1 " * 3000, "é ü  ü"]
+
+
+# --- shared parts --------------------------------------------------------------------------------------------------
+
+
+def test_runs_agree_between_both_forms():
+    h = np.random.default_rng(0).integers(0, 2**63, 500).astype(np.uint64)
+    for k in (4, 8, 9, 19, 50):
+        got = shingles.runs(h, k)
+        assert len(got) == 500 - k + 1 and len(np.unique(got)) == len(got)
+        assert (shingles.runs(h[37:], k) == got[37:]).all()
+
+
+def test_components(spark):
+    r = random.Random(2)
+    for n, m in ((40, 25), (200, 230)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(1000, 1040)]
+        parent = {x: x for e in edges for x in e}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        got = {x.id: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 1 embeddings --------------------------------------------------------------------------------------------------
+
+
+def test_embeddings(spark):
+    g = np.random.default_rng(4)
+    base = g.standard_normal((30, 16))
+    vecs = [list(map(float, v)) for v in base]
+    for i in range(40):
+        vecs.append(list(map(float, base[i % 30] + g.standard_normal(16) * g.choice([0.02, 0.1, 0.3, 0.6]))))
+    vecs += [vecs[0], vecs[0], [3 * x for x in vecs[1]], None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, vecs[2][:8]]
+    rows = [(i, v, 1) for i, v in enumerate(vecs)] + [(None, vecs[3], 2), (5, vecs[5], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = [tuple(r) for r in embeddings.near_duplicates(frame).collect()]
+    assert len(got) == len(rows)
+    clean = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links, parent = Counter(), {i: i for i, *_ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, x) in enumerate(clean):
+        for b, (j, y) in enumerate(clean):
+            if a != b and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.9:
+                links[a] += 1
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+    by = {i: links[a] for a, (i, _) in enumerate(clean)}
+    for i, n, comp, kept in got:
+        if i is None:
+            assert (n, comp, kept) == (0, None, True)
+        else:
+            assert (n, comp, kept) == (by.get(i, 0), find(i), find(i) == i)
+    assert embeddings.near_duplicates(frame.where("false")).count() == 0
+
+
+def test_embedding_bounds_are_unbiased_and_hold():
+    g, errors, outside = np.random.default_rng(5), [], 0
+    d = 64
+    for t in range(2000):
+        x, y = g.standard_normal((2, d))
+        x, y = x / np.linalg.norm(x), y / np.linalg.norm(y)
+        q, _ = np.linalg.qr(np.random.default_rng(t).standard_normal((d, d)))
+        r, s = q @ x, q @ y
+        e, w = embeddings.bound(s, np.packbits(r > 0), float(np.abs(r).sum() / math.sqrt(d)))
+        errors.append(e - x @ y)
+        outside += abs(e - x @ y) > w
+    assert abs(np.mean(errors)) < 4 * np.std(errors) / math.sqrt(len(errors)) and outside == 0
+
+
+# --- 2 licences ----------------------------------------------------------------------------------------------------
+
+
+def test_licences(spark):
+    rows = [
+        (1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/c/x.py", "code\nmore code"), (3, "a/b/LICENSE", "Released under the MIT License."),
+        (4, "a/y.py", "text\n" * 40 + "Licensed under CC BY-NC 4.0."), (5, "z.py", None), (6, "a/b/q.py", ""), (7, "c/LICENSE", "We license nothing to nobody, ever, in any form."),
+        (8, "c/d.py", "x"), (9, "a/y/z.py", "# This work is licensed under the GNU General Public License, version 3.\r\nbody " + "word " * 50), (9, "a/y/z.py", "x"), (None, None, "x"),
+    ]
+    frame = spark.createDataFrame([(i, t, p, "en", "s") for i, p, t in rows], "doc_id long, text string, path string, lang string, line string")
+    got = sorted((tuple(r) for r in licences.scan(frame, F.coalesce("path", F.lit(""))).select("doc_id", "own_licence", "licence", "inherited_from").collect()), key=str)
+    assert got == sorted([
+        (1, "Apache-2.0", "Apache-2.0", None), (2, None, "MIT", "a/b"), (3, "MIT", "MIT", None), (4, "CC-BY-NC-4.0", "CC-BY-NC-4.0", None), (5, None, None, None), (6, None, "MIT", "a/b"),
+        (7, None, None, None), (8, None, None, None), (9, "GPL-3.0", "GPL-3.0", None), (9, None, "Apache-2.0", "a"), (None, None, None, None),
+    ], key=str)
+    assert licences.scan(frame.where("false"), F.col("path")).count() == 0
+
+
+# --- 3 substrings --------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(rows, length):
+    first = {}
+    split = [(i, t.encode().split() if t else []) for i, t in rows]
+    for i, w in split:
+        for k in range(len(w) - length + 1):
+            key = tuple(w[k : k + length])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - length + 1):
+            if i is not None and first[tuple(w[k : k + length])] < i:
+                gone[k : k + length] = [True] * length
+        kept = [x for x, g in zip(w, gone) if not g]
+        out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substrings(spark, seed):
+    texts = corpus(seed)
+    texts += [" ".join(f"w{i % 3}" for i in range(300)), " ".join(f"w{i % 3}" for i in range(1, 120))]
+    ids = list(range(len(texts)))
+    random.Random(seed).shuffle(ids)
+    frame = docs(spark, texts, ids).unionByName(docs(spark, [texts[2], texts[8]], [None, ids[8]]))
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    got = [tuple(r)[:4] for r in substrings.remove_repeats(frame).collect()]
+    assert sorted(got, key=str) == sorted(brute_repeats(rows, 50), key=str)
+    for r in substrings.remove_repeats(frame).where("n_removed > 0").collect():
+        assert sum(s.to - s["from"] for s in r.spans) == r.n_removed
+    assert substrings.remove_repeats(frame.where("false")).count() == 0
+
+
+# --- 4 shards ------------------------------------------------------------------------------------------------------
+
+
+def test_best_fit_tree_matches_a_scan():
+    r = random.Random(6)
+    for _ in range(30):
+        sizes = sorted((r.randint(1, 60) for _ in range(r.randint(1, 120))), reverse=True)
+        free, want = [], []
+        for s in sizes:
+            fit = min(((f, b) for b, f in enumerate(free) if f >= s), default=None)
+            if fit is None:
+                free.append(100)
+                fit = (100, len(free) - 1)
+            free[fit[1]] -= s
+            want.append(fit[1])
+        assert sharding.best_fit(sizes, 100) == want
+
+
+def test_shards(spark):
+    texts = corpus(7, n=300) + ["hot text " * 9] * 90 + [None, None]
+    rows = docs(spark, texts).select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.col("text").alias("group"))
+    for blocks in (1024, 16):
+        got = sharding.shard(rows, 6, blocks).collect()
+        assert len(got) == len(texts)
+        where, sizes, slots = defaultdict(set), Counter(), defaultdict(list)
+        for r in got:
+            where[texts[r.doc_id]].add(r.shard)
+            sizes[r.shard] += r.size
+            slots[r.shard].append(r.slot)
+        assert all(len(s) == 1 for s in where.values()) and set(sizes) <= set(range(6))
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        big = max(sum(8 + len((t or "").encode()) for t in texts if t == x) for x in set(texts))
+        if big <= sum(sizes.values()) / 6:
+            assert max(sizes.values()) - min(sizes.values()) <= 0.1 * sum(sizes.values()) / 6
+    few = sharding.shard(rows, None, 1024, capacity=20_000)
+    load = [r[1] for r in few.groupBy("shard").sum("size").collect()]
+    assert sharding.shard(rows.where("false")).count() == 0 and len(load) >= sum(load) / 20_000
+
+
+# --- 5 packing -----------------------------------------------------------------------------------------------------
+
+
+def brute_bfd(lengths, capacity):
+    free = []
+    for n in sorted(lengths, reverse=True):
+        fit = min(((f, b) for b, f in enumerate(free) if f >= n), default=None)
+        if fit is None:
+            free.append(capacity)
+            fit = (capacity, len(free) - 1)
+        free[fit[1]] -= n
+    return len(free)
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary())
+    texts = corpus(8, n=80) + ["Ça va? It's 12345 <|endoftext|> don't  　wide space ÀÉ́ " * 3]
+    frame = docs(spark, texts)
+    got = packing.pack(packing.pieces(frame, 256), 256).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        by[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        parts = [ids[k : k + 256] for k in range(0, len(ids), 256)]
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in by[i]] == [(k, k * 256, len(p), zlib.crc32(np.array(p, dtype="<u4").tobytes())) for k, p in enumerate(parts)]
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 256
+    assert len(bins) == brute_bfd([r.length for r in got], 256)
+    assert packing.pack(packing.pieces(frame.where("false"))).count() == 0
+
+
+def test_sweep_is_best_fit_decreasing():
+    r = random.Random(9)
+    for _ in range(40):
+        cap = r.choice([10, 64, 100])
+        lengths = [r.randint(1, cap) for _ in range(r.randint(1, 300))]
+        counts = sorted(Counter(lengths).items(), reverse=True)
+        plan = packing.sweep(counts, cap)
+        starts = [p[0] for p in plan] + [len(lengths)]
+        free = defaultdict(lambda: cap)
+        order = [n for n, k in counts for _ in range(k)]
+        for (first, each, at, offset), end in zip(plan, starts[1:], strict=True):
+            for rank in range(first, end):
+                b, j = divmod(rank - first, each)
+                assert cap - free[at + b] == offset + j * order[rank]
+                free[at + b] -= order[rank]
+                assert free[at + b] >= 0
+        assert len(free) == brute_bfd(lengths, cap)
+
+
+# --- 6 urls --------------------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    a = lambda *to: " ".join(f'<a HREF="{t}">x</a>' for t in to)
+    rows = [
+        (1, "http://good.org/x", a("https://friend.net/p", "/own")), (2, "https://friend.net/a?b", a("//pal.net/x")), (3, "http://pal.net#f", a()),
+        (4, "http://w.com/de/1", a()), (5, "http://farm.net/x", a("http://w.com/de/2", "http://w.com/q")), (6, "http://far.net/", a("http://farm.net/x")),
+        (7, "http://x.example.org/en/12", a()), (8, "http://EXAMPLE.org/es/", a()), (9, "no url", None), (10, None, a("http://w.com/")), (11, "http://org", None),
+        (12, "http://notexample.org/es/", None), (12, "http://u.com/fr/z", None), (13, "ftp://Ü.net?x", None),
+    ]
+    frame = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, host string")
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(frame).collect()), key=str)
+    assert got == sorted([
+        (1, "good.org", "/x", "org/", "allow"), (2, "friend.net", "/a", None, "allow"), (3, "pal.net", "", None, "allow"), (4, "w.com", "/de/1", "com/de/", "block"),
+        (5, "farm.net", "/x", None, "block"), (6, "far.net", "/", None, "block"), (7, "x.example.org", "/en/12", "example.org/en/1", "block"), (8, "example.org", "/es/", "example.org/es/", "block"),
+        (9, "", "", None, "allow"), (10, "", "", None, "allow"), (11, "org", "", None, "allow"), (12, "notexample.org", "/es/", "org/", "allow"), (12, "u.com", "/fr/z", "com/fr/", "allow"), (13, "Ü.net", "", None, "allow"),
+    ], key=str)
+    assert urls.judge(frame.where("false")).count() == 0
+
+
+def test_pagerank(spark):
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "c", 3)]
+    seeds = [("a", 2, 0), ("b", 1, 0), ("c", 0, 5)]
+    got = {r.host: (r.trust, r.distrust) for r in urls.scores(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust long, distrust long"), rounds=200, change=1e-12).collect()}
+
+    def rank(links, seed):
+        s, out = {h: 0.0 for h in "abcd"}, Counter()
+        for x, _, n in links:
+            out[x] += n
+        for _ in range(400):
+            new = {h: 0.15 * seed.get(h, 0) for h in s}
+            for x, y, n in links:
+                new[y] += 0.85 * s[x] * n / out[x]
+            s = new
+        return s
+
+    trust, distrust = rank(edges, {"a": 2 / 3, "b": 1 / 3}), rank([(y, x, n) for x, y, n in edges], {"c": 1})
+    for h in "abcd":
+        assert got.get(h, (0, 0)) == pytest.approx((trust[h], distrust[h]), abs=1e-9)
+
+
+# --- 7 mixing ------------------------------------------------------------------------------------------------------
+
+
+def water(sizes, weights, most=3):
+    """Targets by sharing the excess again and again."""
+    total, target, capped = sum(sizes), [0.0] * len(sizes), set()
+    while True:
+        free = [i for i in range(len(sizes)) if i not in capped]
+        rest = total - sum(most * sizes[i] for i in capped)
+        for i in range(len(sizes)):
+            target[i] = most * sizes[i] if i in capped else rest * weights[i] / sum(weights[j] for j in free)
+        over = {i for i in free if target[i] > most * sizes[i]}
+        if not over:
+            return target
+        capped |= over
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mixing(spark, seed):
+    r = random.Random(seed)
+    names = ["b", "a", "é", "Z", None, "tiny", "dust"]
+    rows = [(i, names[min(int(r.expovariate(0.7)), 6)], r.choice([0, 1, 5, 50, 400])) for i in range(300)] + [(7, "a", 20), (None, "b", 5), (None, "b", None)]
+    frame = spark.createDataFrame([(*x, "p") for x in rows], "doc_id long, source string, size long, pos string")
+    got = mixing.mix(frame).collect()
+    assert len(got) == len(rows)
+    order = sorted({s for _, s, _ in rows if s is not None}, key=lambda s: [ord(c) for c in s]) + [None]
+    sizes = [sum(n or 0 for _, s, n in rows if s == x) for x in order]
+    want = dict(zip(order, water(sizes, [i % 3 + 1 for i in range(len(order))]), strict=True))
+    taken = Counter()
+    for x in got:
+        assert x.target == pytest.approx(want[x.source]) and 0 <= x.taken <= 3 * x.size and 0 <= x.position <= 1
+        taken[x.source] += x.taken
+    for s in order:
+        assert abs(taken[s] - want[s]) <= 1
+    again = mixing.mix(frame.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert mixing.mix(frame.where("false")).count() == 0
+
+
+def test_curriculum_positions(spark):
+    """Positions invert the cumulative demand; shares drift to the weightier sources."""
+    frame = spark.createDataFrame([(i, f"s{i % 3}", 10) for i in range(3000)], "doc_id long, source string, size long")
+    got = mixing.mix(frame).where("taken > 0").collect()
+    early = Counter(x.source for x in got if x.position < 0.2)
+    late = Counter(x.source for x in got if x.position > 0.8)
+    assert late["s2"] / sum(late.values()) > early["s2"] / sum(early.values())
+    out = mixing.stage(spark, docs(spark, [f"a{i} b c d" for i in range(60)] + ["", None]), "")
+    assert abs(sum(len(x.text.split()) for x in out.collect()) - 240) <= 3 and out.columns == docs(spark, ["x"]).columns
+
+
+# --- 8 near-duplicates ---------------------------------------------------------------------------------------------
+
+
+def brute_near(rows, words, percent):
+    def grams(t):
+        w = t.encode().lower().split() if t else []
+        return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+    sets = [(i, grams(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, s) in enumerate(sets):
+        for j, t in sets[:a]:
+            if i is not None and j is not None and s and t and 100 * len(s & t) >= percent * len(s | t):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted(((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets), key=str)
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_duplicates(spark, words):
+    texts = corpus(11 + words, n=110)
+    r = random.Random(3)
+    base = [f"w{r.randrange(400)}" for _ in range(90)]
+    for _ in range(40):  # a chain and a cloud of near copies about the threshold
+        w = list(base)
+        for _ in range(r.randint(1, 5)):
+            w[r.randrange(len(w))] = f"w{r.randrange(400)}"
+        texts.append(" ".join(w))
+        if r.random() < 0.3:
+            base = w
+    ids = list(range(len(texts)))
+    random.Random(4).shuffle(ids)
+    frame = docs(spark, texts, ids).unionByName(docs(spark, [texts[0], texts[1]], [None, ids[1]]))
+    rows = [(x.doc_id, x.text) for x in frame.collect()]
+    got = sorted((tuple(x) for x in minhash.near_duplicates(frame, words, 80).collect()), key=str)
+    assert got == brute_near(rows, words, 80)
+    kept = minhash.stage(spark, frame, "").collect()
+    assert len({x.doc_id for x in kept}) == len(kept)
+    assert minhash.near_duplicates(frame.where("false")).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    g = np.random.default_rng(1)
+    errors = []
+    for _ in range(60):
+        both, one, two = g.integers(0, 2**63, 400), g.integers(0, 2**63, 60), g.integers(0, 2**63, 60)
+        x, y = (minhash.signature(np.unique(np.concatenate([both, z])).astype(np.uint64)) for z in (one, two))
+        errors.append((x == y).mean() - 400 / 520)
+    assert abs(np.mean(errors)) < 0.02 and len(x) == 128
+
+
+# --- 9 secrets -----------------------------------------------------------------------------------------------------
+
+
+def test_secrets(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    held = secrets.labelled_findings(spark, 9000).subtract(secrets.labelled_findings(spark, secrets.TRAINING))
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(secrets.features(held))
+    right = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.95
+    key = hashlib.sha1(b"k").hexdigest()
+    texts = [f'a b token = "{key}" and c', "card 4929 and 4111222233334444 end", f"commit {key} done", None, "", "é" * 3 + f' password: "{key}" x ' + "w " * 2000 + f'api_key="{key[::-1]}"', "plain words only"]
+    frame = docs(spark, texts)
+    found = secrets.scan(frame, model).collect()
+    for x in found:
+        assert texts[x.doc_id][x.start : x.start + len(x.candidate)] == x.candidate
+    said = {(x.doc_id, x.place): x.is_secret for x in found}
+    assert said == {(0, 0): True, (1, 0): False, (2, 0): False, (5, 0): True, (5, 1): True}
+    out = {x.doc_id: x for x in secrets.redact(frame, secrets.scan(frame, model)).collect()}
+    assert out[0].text == 'a b token = "[SECRET]" and c' and out[0].n_chars == len(out[0].text)
+    assert out[5].text == texts[5].replace(key, "[SECRET]").replace(key[::-1], "[SECRET]") and [out[i].text for i in (1, 2, 3, 4, 6)] == [texts[i] for i in (1, 2, 3, 4, 6)]
+    assert secrets.scan(frame.where("false"), model).count() == 0
+
+
+# --- 10 quality ----------------------------------------------------------------------------------------------------
+
+
+def brute_metrics(text):
+    w = text.encode().split() if text else []
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = set()
+    for i in range(len(w) - 2):
+        if grams[tuple(w[i : i + 3])] > 1:
+            hit |= {i, i + 1, i + 2}
+    n = len(w)
+    return (n, sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit), n < 50 or 100 * len(hit) > 50 * n)
+
+
+def test_quality_metrics(spark):
+    r = random.Random(12)
+    texts = corpus(12, words=12) + ["a b c", "a b c a b c", "a b", "x\n\nx\n \nx", "# $a|b <c>", "a a a a a", "\x0b\x0c", "é ü x"]
+    texts += ["\n".join(" ".join(r.choice("abcd") for _ in range(r.randint(0, 6))) for _ in range(40)) for _ in range(20)]
+    got = {x.doc_id: tuple(x)[1:] for x in quality.metrics(docs(spark, texts), "doc_id").collect()}
+    assert got == {i: brute_metrics(t) for i, t in enumerate(texts)}
+
+
+def binomial_cdf(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_binomial_tail(spark):
+    cases = [(0, 10), (0, 500), (3, 500), (9, 1000), (2, 100), (40, 3000)]
+    frame = spark.createDataFrame([(k, float(n)) for k, n in cases], "k long, n double")
+    got = [x[0] for x in frame.select(quality.binomial_tail(F.col("k"), F.col("n"), 0.02)).collect()]
+    for (k, n), x in zip(cases, got, strict=True):
+        assert x == pytest.approx(binomial_cdf(k, n, 0.02) if k < n * 0.02 else 1.0, rel=1e-9)
+
+
+def test_quality_thresholds(spark):
+    r = random.Random(13)
+    texts, labels = [], []
+    for i in range(2400):
+        bad = i % 4 == 0
+        w = [f"w{r.randrange(5000)}" for _ in range(r.randint(60, 80))]
+        texts.append(" ".join(x + "$$$" for x in w) if bad else " ".join(w))
+        labels.append((i, 0 if bad else 1, 0))
+    frame = docs(spark, [*texts, None, "short"]).withColumn("lang", F.when(F.col("doc_id") % 600 == 1, None).otherwise(F.col("lang")))
+    known = spark.createDataFrame([*labels, (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    out = {x.doc_id: x.kept for x in quality.judge(frame, known).collect()}
+    wrong = sum(not out[i] for i, q, _ in labels if q)
+    assert wrong <= 0.05 * 1800 and sum(not out[i] for i, q, _ in labels if not q and i % 600 != 1) > 590
+    assert not out[2400] and not out[2401]
+    alone = {x.doc_id: x.kept for x in quality.judge(frame, known.where("false")).collect()}
+    assert all(alone[i] for i in range(2400))
+    assert quality.judge(frame.where("false"), known).count() == 0
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_keeps_clean_documents(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(14)
+    texts = [" ".join(f"w{r.randrange(9000)}" for _ in range(r.randint(60, 200))) for _ in range(80)]
+    key = hashlib.sha1(b"q").hexdigest()
+    texts[5] = texts[4]
+    texts[6] += f' token = "{key}" end'
+    texts += [None, "", "too short", texts[7] + " x"]
+    at = str(tmp_path)
+    docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    cur, seen = spark.read.parquet(f"{at}/documents.parquet"), []
+    for name, stage in pipeline.STAGES:
+        stage(spark, cur, at).write.parquet(f"{at}/{name}")
+        cur = spark.read.parquet(f"{at}/{name}")
+        seen.append({x.doc_id for x in cur.collect()})
+        if name != "sequence_packing":
+            assert cur.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert seen[0] == set(range(80)) | {83} and seen[1] == set(range(80)) - {5} and seen[2] == seen[1]
+    masked = spark.read.parquet(f"{at}/secret_scan").where("doc_id = 6").first()
+    assert key not in masked.text and "[SECRET]" in masked.text
+    assert sorted(map(str, pipeline.run(spark, at).drop("sequence_id", "offset").collect())) == sorted(map(str, cur.drop("sequence_id", "offset").collect()))
+
+
+def test_schemas(spark):
+    assert isinstance(substrings.remove_repeats(docs(spark, ["a b"])).schema, T.StructType)
