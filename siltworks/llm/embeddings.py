@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,6 @@ MISS = 1e-4
 SURE = 4.5
 
 
-@cache
 def rotation(dim: int, which: int) -> np.ndarray:
     """A random orthogonal matrix, the same in every worker."""
     q, r = np.linalg.qr(np.random.default_rng([7, dim, which]).standard_normal((dim, dim)))
@@ -43,6 +41,7 @@ def _codes(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        known: dict[int, np.ndarray] = {}
         for b in batches:
             out = []
             for vec_id, v in zip(b["vec_id"].to_numpy(dtype=object), b["embedding"], strict=True):
@@ -55,17 +54,20 @@ def _codes(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
                 u = x / size
                 u /= np.sqrt(u @ u)
                 d = len(u)
-                turns = [rotation(d, t) @ u for t in range(-(-bits * bands // d))]
-                signs = np.concatenate(turns)[: bits * bands] > 0
+                if d not in known:
+                    known.clear()
+                    known[d] = np.concatenate([rotation(d, t) for t in range(-(-bits * bands // d))])
+                turned = known[d] @ u
+                signs = turned[: bits * bands] > 0
                 keys = (signs.reshape(bands, bits) * weights).sum(axis=1, dtype=np.uint64)
-                r = turns[0]
+                r = turned[:d]
                 low, high = xxhash.xxh128_intdigest((x + 0.0).tobytes()) & (2**64 - 1), xxhash.xxh128_intdigest((x + 0.0).tobytes()) >> 64
                 out.append((
                     vec_id, int(np.uint64(low).view(np.int64)), int(np.uint64(high).view(np.int64)), d,
                     mixed(keys * np.uint64(2) + salt * np.uint64(d)).view(np.int64),
                     np.packbits(r > 0).tobytes(), float(np.abs(r).sum() / math.sqrt(d)), r.astype("<f4").tobytes(),
                 ))
-            got = pd.DataFrame(out, columns=["vec_id", "k1", "k2", "dim", "bands", "code", "factor", "turned"])
+            got = pd.DataFrame(out, columns=["vec_id", "k1", "k2", "dim", "bands", "code", "factor", "turned"], dtype=object)
             yield got.assign(**{c: got[c].astype("Int64") for c in ("vec_id", "k1", "k2", "dim")})
 
     return vectors.mapInPandas(run, "vec_id long, k1 long, k2 long, dim int, bands array<long>, code binary, factor double, turned binary")

@@ -66,7 +66,7 @@ def _sets(docs: DataFrame, words: int, sketch: bool) -> DataFrame:
                     one, two = np.bitwise_xor.reduce(mixed(s)), np.add.reduce(mixed(s + np.uint64(1)))
                     out.append((doc_id, len(s), int(one.view(np.int64)), int(two.view(np.int64)), key.view(np.int64), (sig >> np.uint32(24)).astype(np.uint8).tobytes(), int(bits[0]), int(bits[1])))
             cols = ["doc_id", "n", "k1", "k2", "bands", "codes", "bits", "more"] if sketch else ["id", "shingles"]
-            got = pd.DataFrame(out, columns=cols)
+            got = pd.DataFrame(out, columns=cols, dtype=object)
             yield got.assign(**{c: got[c].astype("Int64") for c in ("doc_id", "id", "bits", "more") if c in cols})
 
     schema = "doc_id long, n long, k1 long, k2 long, bands array<long>, codes binary, bits long, more long" if sketch else "id long, shingles array<long>"
@@ -103,6 +103,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     A null or blank text has no shingles and is linked with nothing. Rows with one doc_id are one document with several
     texts; a null doc_id has component null and is kept. An empty table gives no rows.
     """
+    docs = docs.select("doc_id", "text")
     found = store(_sets(docs, words, sketch=True))
     ided = found.where("doc_id IS NOT NULL AND n > 0")
     classes = settle(ided.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
@@ -166,7 +167,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with its smallest doc_id, in one row. Five words, 0.8."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.join(settle(kept), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
+    kept = settle(near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct())
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     known = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return known.unionByName(rows.where("doc_id IS NULL"))

@@ -108,12 +108,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     docs = docs.dropDuplicates(["doc_id"])
     plan = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    plan = settle(plan.where("copies > 0").select(F.col("doc_id").alias("id"), "size", "source_size", "target", "q", "d", "stream", "part", "copies"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["id"])).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    plan = settle(plan.where("copies > 0").select("doc_id", F.struct("size", "source_size", "target", "q", "d", "stream", "part", "copies").alias("p")))
+    # The document stays one struct, so that its columns' names cannot meet the plan's.
+    rows = docs.select(F.struct("*").alias("doc")).join(plan, F.col("doc.doc_id").eqNullSafe(plan["doc_id"]))
+    rows = rows.select("doc", "p.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.copies") - 1)).alias("copy"))
     cut = (F.col("copy") == F.col("copies") - 1) & F.col("part").between(F.lit(1), F.col("size") - 1)
-    text = F.when(cut, F.array_join(F.slice(words(F.col("text")), 1, F.col("part").cast("int")), " ")).otherwise(F.col("text"))
+    text = F.when(cut, F.array_join(F.slice(words(F.col("doc.text")), 1, F.col("part").cast("int")), " ")).otherwise(F.col("doc.text"))
     done = (F.col("copy") * F.col("source_size") + F.col("stream")) / F.col("target")
-    rows = rows.withColumn("at", position(done, F.col("q"), F.col("d"))).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.repartitionByRange("at", "doc_id", "copy").sortWithinPartitions("at", "doc_id", "copy").select(*docs.columns)
+    rows = rows.select("doc", "copy", position(done, F.col("q"), F.col("d")).alias("at"), cut.alias("cut"), text.alias("text"))
+    by = [F.col("at"), F.col("doc.doc_id"), F.col("copy")]
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

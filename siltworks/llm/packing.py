@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
             yield got.assign(doc_id=got["doc_id"].astype("Int64"))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(

@@ -57,7 +57,7 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
                     at = np.unique(anchors(grams))
                     values = grams[at].view(np.int64)
                 out.append((doc_id, len(parts), _digest(parts), values, at.astype(np.int32)))
-            got = pd.DataFrame(out, columns=["doc_id", "n_words", "sha", "anchors", "at"])
+            got = pd.DataFrame(out, columns=["doc_id", "n_words", "sha", "anchors", "at"], dtype=object)
             yield got.assign(doc_id=got["doc_id"].astype("Int64"))
 
     return docs.mapInPandas(run, "doc_id long, n_words long, sha string, anchors array<long>, at array<int>")
