@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, licences, minhash, mixing, packing, quality, secrets, sharding, substrings, urls
+from . import embeddings, licences, minhash, mixing, oracles, packing, quality, secrets, sharding, substrings, urls
 
 QUERIES = {
     "op1_rotation_codes": embeddings.query,
@@ -17,4 +17,11 @@ QUERIES = {
     "op10_risk_controlled": quality.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_rotation_codes": oracles.OP1,
+    "op3_seed_and_extend": oracles.OP3,
+    "op6_url_graph": oracles.OP6,
+    "op7_mix_curriculum": oracles.OP7,
+    "op8_minmax_near_dedup": oracles.OP8,
+    "op10_risk_controlled": oracles.OP10,
+}

@@ -167,7 +167,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with its smallest doc_id, in one row. Five words, 0.8."""
-    kept = settle(near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct())
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    known = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.unionByName(rows.where("doc_id IS NULL"))
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id"))
+    kept = settle(kept.where("kept_id IS NOT NULL").distinct())
+    known = docs.where("doc_id IS NOT NULL")
+    # The join deals the documents by doc_id, so dropping repeats of an id moves nothing again.
+    known = known.join(kept, known["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id IS NULL"))

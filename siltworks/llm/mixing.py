@@ -74,7 +74,7 @@ def mix(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     whole, mean = (sums["t"] or 1.0), (sums["tz"] or 0.0) / (sums["t"] or 1.0)
     q = F.col("target") / F.lit(whole)
     table = table.withColumns({"q": q, "d": F.lit(float(tilt)) * q * (z - F.lit(mean))})
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("doc_id").cast("string")))
     rows = ranked(units.withColumns({"last": F.col("source").isNull(), "key": key}), *map(F.col, ("last", "source", "key", "doc_id", "size")), weight="size")
     at = F.col("u.before") - F.col("s.begin")
     joined = rows.alias("u").join(table.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select(
@@ -94,21 +94,21 @@ def mix(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(units).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mix(units).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 6).alias("position"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: documents as often as taken, in training order, with the columns of `docs`.
 
-    Rows that share a doc_id count as one document, of which one row is used. The document that the end of the last
+    Rows that share a doc_id are taken alike, by the plan of the shortest. The document that the end of the last
     epoch cuts keeps its first words, joined by spaces. A document without words, or beyond its source's target, is
     not taken. n_chars, where it is a column, is set anew for a cut text.
     """
     from .base import words
 
-    docs = docs.dropDuplicates(["doc_id"])
     plan = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    plan = settle(plan.where("copies > 0").select("doc_id", F.struct("size", "source_size", "target", "q", "d", "stream", "part", "copies").alias("p")))
+    own = F.struct("size", "source_size", "target", "q", "d", "stream", "part", "copies")
+    plan = settle(plan.where("copies > 0").groupBy("doc_id").agg(F.min(own).alias("p")))
     # The document stays one struct, so that its columns' names cannot meet the plan's.
     rows = docs.select(F.struct("*").alias("doc")).join(plan, F.col("doc.doc_id").eqNullSafe(plan["doc_id"]))
     rows = rows.select("doc", "p.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.copies") - 1)).alias("copy"))
