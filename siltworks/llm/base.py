@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more: the driver's collector finds them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def store(df: DataFrame) -> DataFrame:
     """Like settle(), as a compressed Parquet table, for wide rows; partitions and order may differ when it is read."""
     at = f"{shared_dir(df.sparkSession).rstrip('/')}/siltworks-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle
+from .base import release, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,10 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
+        release(edges.sparkSession)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settle(large.distinct())
+        large = large.distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(small, "u")
         e = settle(near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, settle, store
+from .base import documents, release, settle, store
 from .graph import components
 from .shingles import WordHashes, mixed, shingle_set
 
@@ -22,7 +22,7 @@ LEAST_COMMON = 72
 #: One bit of each value: of the 128, most that a pair may differ in to be looked at; at 0.8, 13 are expected (sd 3.4).
 MOST_APART = 34
 #: Rounds in which members off their bucket's main component try a few of its members, before all are tried.
-PROBES = 2
+PROBES = 1
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +122,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {apart} <= {MOST_APART}"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        release(docs.sparkSession)
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
         return settle(_confirm(settle(_alike(pairs, codes)), sets, percent))
 
@@ -129,6 +130,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Rows of one doc_id with several texts are joined by their id alone.
     tree = components(links)
     for turn in range(PROBES + 1):
+        release(docs.sparkSession)
         named = buckets.drop("hub", "hs").join(tree, "id", "left").withColumn("root", F.coalesce("root", "id"))
         sizes = named.groupBy("key", "root").agg(F.count("*").alias("c"))
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -148,8 +150,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             pairs = x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         more = confirmed(pairs)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            tree = components(links)
+            tree = components(more.unionByName(tree.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     named = settle(classes.join(tree, classes["rep"] == tree["id"], "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root")))
     plain = found.select("doc_id", "n", "k1", "k2")
     own = F.coalesce("root", "doc_id")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import sys
+import types
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +18,8 @@ from .base import documents, plus, ranked, settle
 
 CAPACITY = 4096
 END = 1
-#: Distinct words whose ids a worker remembers at a time.
-REMEMBERED = 300_000
+#: Distinct words whose ids a worker remembers at a time, bytes of text that it takes at once, and words in one call.
+REMEMBERED, AT_ONCE, CALL = 1_000_000, 2_000_000, 5_000
 
 
 def vocabulary() -> str:
@@ -25,6 +28,78 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def portions(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """(doc_id, words) of documents, in lists of some AT_ONCE bytes of text."""
+    some, size = [], 0
+    for doc_id, text in rows:
+        body = text.encode() if isinstance(text, str) else b""
+        some.append((doc_id, body.split()))
+        size += len(body)
+        if size > AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+class WordIds:
+    """The ids of words, as little-endian bytes, remembered in bounded space.
+
+    Words of letters, with or without a mark at their end, are one or two pre-tokens; many such are encoded in one call,
+    and the tokens that end pre-tokens tell the words apart. All other words are encoded one by one.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.path, self.ids, self.tok = path, {}, Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
+
+    @staticmethod
+    def pretokens(word: str) -> int:
+        """1 or 2 where that is sure, else 0."""
+        low = word.lower()
+        if not low.isascii() and not (unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)):
+            return 0
+        return 1 if low.isalpha() and word.isalpha() else 2 if word[-1] in ".,;:!?" and low[:-1].isalpha() and word[:-1].isalpha() else 0
+
+    def learn(self, words: list[bytes]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.ids]
+        if len(self.ids) + len(new) > REMEMBERED:
+            self.ids.clear()
+            new = list(dict.fromkeys(words))
+        for i in range(0, len(new), CALL):
+            some = [(w, w.decode()) for w in new[i : i + CALL]]
+            counted = [(w, t, self.pretokens(t)) for w, t in some]
+            plain = [x for x in counted if x[2]]
+            odd = [x[:2] for x in counted if not x[2]]
+            if plain:
+                ids = np.asarray(self.tok.encode_batch_fast([" ".join([t for _, t, _ in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+                last = np.flatnonzero(self.ends[ids])
+                upto = np.cumsum([n for _, _, n in plain])
+                if len(last) == upto[-1]:
+                    cuts, body = ((last[upto - 1] + 1) * 4).tolist(), ids.tobytes()
+                    at = 0
+                    for (w, _, _), to in zip(plain, cuts, strict=True):
+                        self.ids[w] = body[at:to]
+                        at = to
+                else:
+                    odd += [x[:2] for x in plain]
+            for (w, _), e in zip(odd, self.tok.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
+                self.ids[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+
+def worker_ids(path: str) -> WordIds:
+    """The WordIds of this worker process, which outlives a task."""
+    home = sys.modules.setdefault("siltworks_worker_ids", types.ModuleType("siltworks_worker_ids"))
+    if getattr(home, "path", None) != path:
+        home.path, home.found = path, WordIds(path)
+    return home.found
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Tokenises whole texts; one row per piece: doc_id, piece, start, length, ids_crc32.
 
@@ -34,28 +109,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     path = tokenizer or vocabulary()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        known: dict[bytes, bytes] = {}
+        known = worker_ids(path)
         end = END.to_bytes(4, "little")
         for b in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(b["doc_id"].to_numpy(dtype=object), b["text"], strict=True):
-                parts = text.encode().split() if isinstance(text, str) else []
-                new = list(dict.fromkeys(w for w in parts if w not in known))
-                if new:
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        new = list(dict.fromkeys(parts))
-                    for i in range(0, len(new), 10_000):
-                        some = new[i : i + 10_000]
-                        for w, e in zip(some, tok.encode_batch([x.decode() for x in some], add_special_tokens=False), strict=True):
-                            known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-                ids = b"".join([known[w] for w in parts]) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for some in portions(zip(b["doc_id"].to_numpy(dtype=object), b["text"], strict=True)):
+                known.learn([w for _, parts in some for w in parts])
+                for doc_id, parts in some:
+                    ids = b"".join([known.ids[w] for w in parts]) + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
             yield got.assign(doc_id=got["doc_id"].astype("Int64"))
 
