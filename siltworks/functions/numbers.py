@@ -51,5 +51,6 @@ def readable_size(n: float) -> str:
 
 def readable_size_col(n: Column) -> Column:
     v = F.greatest(n, F.lit(0)).cast("double")
-    of = lambda size, form: F.format_string(form, v / F.lit(float(size)))
-    return F.when(v >= 1 << 30, of(1 << 30, "%.2f GB")).when(v >= 1 << 20, of(1 << 20, "%.2f MB")).when(v >= 1 << 10, of(1 << 10, "%.1f KB")).otherwise(F.format_string("%d B", v.cast("long")))
+    # Java's formats round ties up; these are rounded to even beforehand, as Python does.
+    of = lambda size, digits, unit: F.format_string(f"%.{digits}f {unit}", F.bround(v / F.lit(float(size)), digits))
+    return F.when(v >= 1 << 30, of(1 << 30, 2, "GB")).when(v >= 1 << 20, of(1 << 20, 2, "MB")).when(v >= 1 << 10, of(1 << 10, 1, "KB")).otherwise(F.format_string("%d B", v.cast("long")))

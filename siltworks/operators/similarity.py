@@ -22,6 +22,13 @@ def masks(key: Column) -> Column:
     return F.map_from_arrays(kinds, F.transform(kinds, bits))
 
 
+def bag(key: Column, least: int) -> Column:
+    """One bit for each character that stands `least` times or oftener (characters may share one)."""
+    chars = F.split(key, "")
+    often = F.filter(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) >= least)
+    return F.aggregate(often, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % 62).cast("int"))))
+
+
 def lcs(a_masks: Column, a_length: Column, b: Column) -> Column:
     """Length of the longest common subsequence, bit-parallel over the characters of b; a has at most 62."""
     ones = (F.pow(F.lit(2.0), a_length).cast("long") - 1).cast("long")
@@ -68,11 +75,15 @@ def fuzzy_pairs(
     rows = df.select(col(row_id).alias("i"), fuzzy_key(*map(col, names)).alias("key"), (block if block is not None else F.lit(0)).alias("block")).where("key IS NOT NULL AND key <> ''")
     keys = rows.select("block", "key").distinct().withColumn("sorted", token_sorted(F.col("key"))).withColumn("n", F.length("sorted"))
     keys = keys.withColumn("masks", F.when(F.col("n") <= BITS, masks(F.col("sorted"))))
+    keys = keys.withColumns({f"bag{k}": bag(F.col("sorted"), k) for k in (1, 2, 3)})
     t = float(threshold)
+    # Characters that one key has oftener than the other cannot be common: a bound on the similarity, and lossless.
+    left_over = lambda x, y: f"{x}.n - " + " - ".join(f"bit_count({x}.bag{k} & ~{y}.bag{k})" for k in (1, 2, 3))
+    can = f"2.0 * least({left_over('a', 'b')}, {left_over('b', 'a')}) >= {t!r} * (a.n + b.n) - 1e-9"
     if t > 0:
         reach = F.sequence(F.ceil(F.col("n") * F.lit(t / (2 - t)) - 1e-9).cast("int"), F.col("n").cast("int"))
         sent = keys.withColumn("m", F.explode(reach))
-        met = sent.alias("a").join(keys.alias("b"), F.expr("a.block = b.block AND a.m = b.n AND (a.n > b.n OR a.key < b.key)"))
+        met = sent.alias("a").join(keys.alias("b"), F.expr(f"a.block = b.block AND a.m = b.n AND (a.n > b.n OR a.key < b.key) AND {can}"))
     else:
         met = keys.alias("a").join(keys.alias("b"), F.expr("a.block = b.block AND a.key < b.key"))
     # The longer side is a; where it fits, its masks serve, else the shorter's.

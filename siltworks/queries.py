@@ -123,7 +123,7 @@ def _(s, d):
 
 
 SQL_SHAPES = r"""avg(CASE WHEN regexp_full_match(trim({0}), '[-+]?\d+(\.\d+)?([eE][-+]?\d+)?') THEN 1.0 ELSE 0.0 END) AS number_ratio,
- avg(CASE WHEN regexp_full_match(trim({0}), '\+?[\d]{{1,4}}[-.\s]?\(?\d{{2,4}}\)?[-.\s]?\d{{2,4}}[-.\s]?\d{{2,6}}') AND length(regexp_replace({0}, '[^\d]', '', 'g')) BETWEEN 7 AND 15 THEN 1.0 ELSE 0.0 END) AS phone_ratio,
+ avg(CASE WHEN regexp_full_match(trim({0}), '\+?[\d]{{1,4}}[-.\s]?\(?\d{{2,4}}\)?[-.\s]?\d{{2,4}}[-.\s]?\d{{2,6}}') AND length(regexp_replace({0}, '[^\d]', '', 'g')) BETWEEN 7 AND 15 AND NOT regexp_full_match(trim({0}), '\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\d{{1,2}}-\d{{1,2}}-\d{{4}}') THEN 1.0 ELSE 0.0 END) AS phone_ratio,
  avg(CASE WHEN regexp_matches({0}, '(\d{{4}}[-/]\d{{2}}[-/]\d{{2}}|\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}|(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[\s,]+\d)') THEN 1.0 ELSE 0.0 END) AS date_ratio"""
 
 
