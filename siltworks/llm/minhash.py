@@ -23,6 +23,8 @@ LEAST_COMMON = 72
 MOST_APART = 34
 #: Rounds in which members off their bucket's main component try a few of its members, before all are tried.
 PROBES = 1
+#: A bucket with more pairs than this between components is searched by differences from a pivot, not pair by pair.
+HEAVY = 20_000
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +95,35 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
+def _by_differences(members: DataFrame, sets: DataFrame, percent: int, close: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of ids that may be similar, of members (pivot, id, root, s) of which those with root <> pivot are off.
+
+    With dx what x and the pivot do not share, x and y do not share |dx| + |dy| - 2 |dx & dy|. A member that is off and
+    dissimilar to the pivot has a large dx, so a similar y must share at least some o elements of dx. Sorted alike,
+    rarest first, the first |d| - o + 1 elements of both then have one in common (prefix filter), and pairs are joined on
+    those alone. No similar pair is lost; what most members do not share with the pivot is their own and meets nothing.
+    Returns the off members that are similar to the pivot itself, and the pairs that share a prefix element.
+    """
+    c = f"({100 - percent}D / {100 + percent})"
+    own = members.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("theirs")), "pivot")
+    apart = F.array_union(F.array_except("shingles", "theirs"), F.array_except("theirs", "shingles"))
+    own = store(own.select("pivot", "id", "root", "s", F.size("shingles").alias("n"), F.size("theirs").alias("hn"), apart.alias("d")))
+    direct = own.where(f"root <> pivot AND size(d) * {100 + percent} <= (n + hn) * {100 - percent}").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    elements = own.select("pivot", "id", F.explode("d").alias("e"))
+    often = settle(elements.groupBy("pivot", "e").agg(F.count("*").alias("c")))
+    order = elements.join(often, ["pivot", "e"]).groupBy("pivot", "id").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("o"))
+    all_ = settle(own.drop("d").join(order, ["pivot", "id"]).withColumn("m", F.size("o")))
+
+    def prefix(rows: DataFrame, least: str) -> DataFrame:
+        keep = rows.withColumn("keep", F.expr(f"cast(m - ({least}) + 1 AS int)")).where("keep > 0")
+        return keep.select("pivot", "id", "root", "s", F.explode(F.expr("slice(o.e, 1, keep)")).alias("e"))
+
+    x = prefix(all_.where("root <> pivot"), f"greatest(1, ceil((m - {c} * (n + hn)) / 2 - 1e-6))").alias("x")
+    y = prefix(all_, f"floor((m + {c} * (hn - n)) / 2 - 1e-6) + 1").alias("y")
+    met = x.join(y, F.expr(f"x.pivot = y.pivot AND x.e = y.e AND x.root <> y.root AND {close}"))
+    return direct, met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -142,12 +173,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             tried = apart.where("root = main").groupBy("key").agg(F.min_by(F.struct("id", "s"), F.xxhash64("id", "key", F.lit(turn))).alias("m"))
             pairs = off.join(settle(tried), "key").where(close("s", "m.s")).select(F.col("id").alias("a"), F.col("m.id").alias("b"))
         else:
+            load = apart.groupBy("key").agg((F.count_if(F.col("root") != F.col("main")) * F.count("*")).alias("pairs"))
+            heavy = settle(load.where(F.col("pairs") > HEAVY).select("key"))
             # A pair that meets in several buckets is taken in the first of its bands.
-            apart = settle(apart.join(reps.select(F.col("doc_id").alias("id"), "bands"), "id"))
-            x, y = apart.where("root <> main").alias("x"), apart.alias("y")
+            light = apart.join(heavy, "key", "left_anti").join(reps.select(F.col("doc_id").alias("id"), "bands"), "id")
+            light = settle(light)
+            x, y = light.where("root <> main").alias("x"), light.alias("y")
             first = F.expr("element_at(array_intersect(x.bands, y.bands), 1) = x.key")
             met = F.expr(f"x.key = y.key AND x.root <> y.root AND {close('x.s', 'y.s')}") & first
             pairs = x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            if not heavy.isEmpty():
+                members = apart.join(heavy, "key", "left_semi").select(F.col("main").alias("pivot"), "id", "root", "s").dropDuplicates(["pivot", "id"])
+                direct, others = _by_differences(settle(members), sets, percent, close("x.s", "y.s"))
+                pairs = pairs.unionByName(direct).unionByName(others)
         more = confirmed(pairs)
         if not more.isEmpty():
             tree = components(more.unionByName(tree.select(F.col("id").alias("a"), F.col("root").alias("b"))))

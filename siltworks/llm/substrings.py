@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, settle, store
+from .base import documents, release, settle, store
 from .shingles import BASE2, WordHashes, runs
 
 LENGTH = 50
@@ -119,11 +119,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     pins = searched.select("doc_id", "sha", F.explode(F.arrays_zip("anchors", "at")).alias("x")).select("doc_id", "sha", "x.*")
     met = settle(pins.groupBy("anchors").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchors"))
     hits = settle(pins.join(met, "anchors").groupBy("doc_id", "sha").agg(F.collect_set("at").alias("seeds")))
+    release(docs.sparkSession)
     touched = store(docs.where("doc_id IS NOT NULL").join(hits, "doc_id").where(F.sha2(F.array_join(_words("text"), " "), 256) == F.col("sha")))
+    release(docs.sparkSession)
     windows = store(_windows(touched, length))
     least = settle(windows.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
     starts = windows.join(least, ["h", "h2"]).where("doc_id > lo").groupBy("doc_id", "sha").agg(F.collect_set("at").alias("starts"))
-    cut = _cut(touched.dropDuplicates(["doc_id", "sha"]).join(settle(starts), ["doc_id", "sha"]), length)
+    starts = settle(starts)
+    release(docs.sparkSession)
+    cut = _cut(touched.dropDuplicates(["doc_id", "sha"]).join(starts, ["doc_id", "sha"]), length)
     rows = seeds.select("doc_id", "n_words", "sha").join(first, "sha", "left").join(settle(cut), ["doc_id", "sha"], "left")
     copy = F.col("doc_id") > F.col("first")
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")))

@@ -393,8 +393,10 @@ def brute_near(rows, words, percent):
     return sorted(((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets), key=str)
 
 
-@pytest.mark.parametrize("words", [4, 5])
-def test_near_duplicates(spark, words):
+@pytest.mark.parametrize(("words", "heavy"), [(4, 20_000), (4, 0), (5, 0)])
+def test_near_duplicates(spark, words, heavy, monkeypatch):
+    monkeypatch.setattr(minhash, "HEAVY", heavy)
+    monkeypatch.setattr(minhash, "PROBES", 0 if heavy == 0 else 1)
     texts = corpus(11 + words, n=110)
     r = random.Random(3)
     base = [f"w{r.randrange(400)}" for _ in range(90)]
@@ -402,9 +404,12 @@ def test_near_duplicates(spark, words):
         w = list(base)
         for _ in range(r.randint(1, 5)):
             w[r.randrange(len(w))] = f"w{r.randrange(400)}"
+        if r.random() < 0.3:
+            del w[r.randrange(len(w)) :][:2]
+            w = w[: r.randint(84, 90)]
         texts.append(" ".join(w))
         if r.random() < 0.3:
-            base = w
+            base = w if len(w) > 80 else base
     ids = list(range(len(texts)))
     random.Random(4).shuffle(ids)
     frame = docs(spark, texts, ids).unionByName(docs(spark, [texts[0], texts[1]], [None, ids[1]]))
