@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DATE_TARGETS
 
@@ -72,7 +73,7 @@ def normalize_phone(c: Column) -> Column:
     return F.when(digits == "", c).otherwise(F.concat(F.when(s.startswith("+"), "+").otherwise(""), digits))
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(T.TimestampType())
 def _lenient(values: pd.Series) -> pd.Series:
     """The general parser, for values that no listed format took; run on each distinct value once."""
     known = {v: pd.to_datetime(v, format="mixed", errors="coerce") for v in values.dropna().unique()}

@@ -35,6 +35,8 @@ def dedupe_keep_first(df: DataFrame, row_id: str = ROW_ID, subset: list[str] | N
     moves once per task.
     """
     keys = _keys(df, row_id, subset)
+    if not keys:
+        return df
     if subset is None:
         names = data_columns(df, row_id)
         kinds = {f.name: f.dataType for f in df.schema}
@@ -53,5 +55,7 @@ def exact_duplicates(df: DataFrame, row_id: str = ROW_ID, subset: list[str] | No
 
 def duplicate_count(df: DataFrame, row_id: str | None = ROW_ID) -> DataFrame:
     """One row: rows, duplicate_rows."""
+    if not data_columns(df, row_id):
+        return df.agg(F.count("*").alias("rows"), F.lit(0).cast("long").alias("duplicate_rows"))
     each = df.groupBy(*_keys(df, row_id or "", None)).agg(F.count("*").alias("n"))
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))

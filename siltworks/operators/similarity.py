@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Limits
 from ..functions.text import fuzzy_key, token_sorted
@@ -40,7 +41,7 @@ def lcs(a_masks: Column, a_length: Column, b: Column) -> Column:
     return a_length - F.bit_count(F.aggregate(F.split(b, ""), ones, step))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_long(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same for keys of any length, on Python's whole numbers."""
     out = []

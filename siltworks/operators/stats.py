@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,25 +71,24 @@ def _order_statistics(cells: DataFrame, wanted: dict[tuple[str, int], int], enou
         if not bounds:
             break
         keys = sorted(bounds)
+        # How many values of the bracket are below, and how many up to, each of the two cuts.
         counts = cells.agg(*[
-            F.struct(*[F.count_if((F.col(c) > bounds[c, r][0]) & (F.col(c) <= cut)) for cut in steps[c, r]], F.count_if(F.col(c) == steps[c, r][1]))
+            F.array(*[F.count_if((F.col(c) > bounds[c, r][0]) & test) for cut in steps[c, r] for test in (F.col(c) < cut, F.col(c) <= cut)])
             for c, r in keys
         ]).first()
-        for k, (below, upto, ties) in zip(keys, counts, strict=True):
-            low, high, rank, n = bounds[k]
+        for k, (below_a, upto_a, below_b, upto_b) in zip(keys, counts, strict=True):
+            low, high, rank, n = bounds.pop(k)
             a, b = steps[k]
-            if rank < below:
-                bounds[k] = (low, a, rank, below)
-            elif rank >= upto:
-                bounds[k] = (b, high, rank - upto, n - upto)
-            elif upto - ties <= rank:  # many equal values: the upper bound itself
+            if rank < below_a:
+                bounds[k] = (low, math.nextafter(a, -math.inf), rank, below_a)
+            elif rank < upto_a:
+                out[k] = float(a)
+            elif rank < below_b:
+                bounds[k] = (a, math.nextafter(b, -math.inf), rank - upto_a, below_b - upto_a)
+            elif rank < upto_b:
                 out[k] = float(b)
-                del bounds[k]
-                continue
             else:
-                bounds[k] = (a, b, rank - below, upto - below)
-            if bounds[k][:2] == (low, high) and k not in out:
-                raise ArithmeticError("a bracket does not narrow")
+                bounds[k] = (b, high, rank - upto_b, n - upto_b)
     return out
 
 

@@ -19,7 +19,8 @@ def binary(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def content(spark: SparkSession, path: str) -> bytes:
-    return bytes(binary(spark, path).select("content").first()[0])
+    row = binary(spark, path).select("content").first()
+    return bytes(row[0]) if row and row[0] is not None else b""  # empty files may give no row
 
 
 def validate(spark: SparkSession, path: str | None, limits: Limits = Limits()) -> tuple[bool, str]:

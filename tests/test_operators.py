@@ -159,7 +159,7 @@ def test_pipeline(spark):
     ticks = []
     options = CleanOptions(normalize_emails=True, normalize_dates=True, normalize_phones=True, email_columns=(" email",), date_columns=("signup_date",), phone_columns=("phone",), snake_case=True)
     out, report = pipeline.clean(raw, options, lambda f, m: ticks.append(f))
-    assert report["rows_before"] == 7 and report["rows_after"] == out.count() == 6
+    assert report["rows_before"] == 7 and report["rows_after"] == out.count() == 7
     assert report["headers_stripped"] == 1 and "notes" in out.columns
     assert report["emails_normalized"] == 0 or report["emails_normalized"] == 1
     assert report["dates_normalized"] == 2 and report["spaces_trimmed"] >= 2
