@@ -49,9 +49,9 @@ def before_after(before: DataFrame, after: DataFrame, row_id: str = ROW_ID) -> D
         texts = text_columns(df, row_id)
         broken = df.agg(*[F.count_if(changed(col(c), fix_encoding(col(c)))) for c in texts]).first() if texts else []
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        rows.append((n, len(data_columns(df, row_id)), sum(missing_per_column(df, row_id).values()), repeated, sum(broken), int(str(size))))
+        rows.append((n, len(data_columns(df, row_id)), sum(missing_per_column(df, row_id).values()), repeated, sum(broken), min(int(str(size)), 2**63 - 1)))
     names = ("rows", "columns", "missing cells", "duplicate rows", "repairable cells", "estimated bytes")
-    return before.sparkSession.createDataFrame([(m, a, b) for m, a, b in zip(names, *rows, strict=True)], "metric string, before decimal(38,0), after decimal(38,0)")
+    return before.sparkSession.createDataFrame([(m, a, b) for m, a, b in zip(names, *rows, strict=True)], "metric string, before long, after long")
 
 
 def preview(df: DataFrame, n: int = 10, row_id: str = ROW_ID) -> DataFrame:
