@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .base import documents, settle
 
-#: A run of 16 or more token characters with a digit among them, possessive so that long runs cost one pass.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=\-]{0,400}+[0-9])[A-Za-z0-9+/_=\-]{16,}+"
+#: A run of 16 or more token characters with a digit among them, possessive so that long runs cost one pass. A name
+#: before "=" is no part of it; "=" belongs to it as padding at its end only.
+CANDIDATE = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_\-]{0,400}+[0-9])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_=\-\"']))?"
 #: Characters of text on either side that count as neighbouring words.
 BESIDE = 64
 #: Labelled findings that the forest is fitted on, at most.
@@ -25,12 +26,14 @@ MASK = "[SECRET]"
 NAMES = "token|secret|passwd|password|api_key|apikey|access_key|auth|bearer|credential|private_key"
 HARMLESS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|revision|isbn|order|invoice|card|account|phone|example|sample|dummy"
 EXAMPLES = "test|example|sample|fixture|docs|demo"
+# Starts by which keys of known services show without a naming word.
+PREFIXES = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[srp]k_(live|test)_|xox[abprs]-|AIza|npm_|SG\.|eyJ)"
 # Common words and parts of words whose letters do not look random.
 DICTIONARY = (
     "the|and|ing|tion|ent|ment|for|with|that|this|from|have|key|user|name|data|file|test|example|sample|value|"
     "number|string|class|config|default|service|server|client|change|your|here|abc|123456|000000|xxxx"
 )
-FEATURES = ("length", "digits", "uppers", "changes", "distinct", "hexes", "coverage", "path_example", "named", "assigned", "quoted", "harmless")
+FEATURES = ("length", "digits", "uppers", "changes", "distinct", "hexes", "coverage", "path_example", "named", "assigned", "quoted", "harmless", "prefixed", "naming")
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -55,6 +58,8 @@ def features(rows: DataFrame) -> DataFrame:
         "named": flag(last.rlike(NAMES)),
         "assigned": flag(low.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(low.rlike("[\"']$") & F.coalesce("after", F.lit("")).rlike("^[\"']")),
+        "prefixed": flag(c.rlike(PREFIXES)),
+        "naming": flag(F.coalesce("after", F.lit("")).rlike("^[\"']?\\s*[=:]")),
         "harmless": flag(F.concat_ws(" ", last, F.lower(F.substring(F.coalesce("after", F.lit("")), 1, 24))).rlike(HARMLESS)),
     })
 
@@ -62,8 +67,9 @@ def features(rows: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
     """Findings with a label, 1 for a secret: `n` of them, made by rule from their number alone, the same each time.
 
-    Secrets are random hex, base64 or prefixed keys beside naming words; others are numbers, identifiers, checksums,
-    placeholders and compound words, some beside the same naming words.
+    Secrets are random hex, base64 or prefixed keys: beside naming words, glued to names by "=" or ":" (also names without
+    a naming word, and in URLs), or prefixed keys alone. Others are numbers, identifiers, checksums, placeholders and
+    compound words, some beside the same naming words or glued to other names, paths, and long names before a value.
     """
     i = F.col("id")
     hexes = F.sha2(F.concat(F.lit("s"), i.cast("string")), 256)
@@ -78,13 +84,22 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
     ).otherwise(
         pick("w", F.substring(F.rpad(digits, 19, "7"), 1, 16), F.substring(F.rpad(digits, 19, "3"), 1, 18), uuid, F.substring(hexes, 1, 40), hexes, F.concat(F.lit("your-api-key-example-"), F.pmod(i, F.lit(10)).cast("string")), F.concat(F.lit("xxxxxxxxxxxxxxxx"), F.pmod(i, F.lit(10)).cast("string")), F.concat(F.lit("default-user-service-config-"), F.pmod(i, F.lit(100)).cast("string")))
     )
+    form = F.pmod(F.xxhash64(F.lit("k"), i), F.lit(10))
+    key = pick("x", F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(b64, 1, 24)))
+    route = F.concat(pick("u", "/guide/config/page", "src/main/service/v", "//host.net/archive/", "usr/share/data/file-"), F.pmod(i, F.lit(1000)).cast("string"), pick("t", "", "/index", "/the-name-of-it"))
+    name = F.concat(pick("A", "MY_SERVICE_V", "APP_CONFIG_", "aws_account_", "x-client-h"), F.pmod(i, F.lit(10)).cast("string"), pick("B", "_API_KEY", "_SECRET_TOKEN", "_HOST_NAME", "-auth-token"))
+    value = F.when(~secret & (form == 7), name).when(secret & form.isin(6, 7), key).when(~secret & (form == 6), route).otherwise(value)
     hashlike = (F.length(value) >= 40) & ~secret
     before = F.when(
+        secret & form.isin(3, 4, 5), F.concat(pick("g", "export ", "", "\n", "?", "&", "see https://host.net/a?"), pick("m", "api_key", "TOKEN", "auth_token", "client_secret", "password", "access_token", "STRIPE_KEY", "DB_PASS"), pick("l", "=", "=", ":", "=\"", "='"))
+    ).when(secret & form.isin(6, 7), pick("a", "", "the ", "use ", "key ", "and then ", "- ", "see ", "X=")).when(
         secret, F.concat(pick("f", "the ", "set ", "", "with new "), pick("b", "token", "api_key", "password", "secret", "access_key", "auth", "TOKEN", "client credential"), pick("e", " = \"", "=", ": ", " = '", ": \""))
-    ).when(hashlike, F.concat(pick("h", "commit ", "sha1 ", "checksum: ", "md5 = ", "digest=\"", "revision "), F.lit(""))).otherwise(
+    ).when(~secret & (form == 6), pick("j", "see ", "https:", "path=", "at ", "url: ", "in ", "")).when(~secret & (form == 7), pick("D", "export ", "", "\n", "{\"", "?")).when(
+        hashlike, F.concat(pick("h", "commit ", "sha1 ", "checksum: ", "md5 = ", "digest=\"", "revision ", "sha256=", "?commit="), F.lit(""))
+    ).when(form.isin(3, 4), F.concat(pick("g", "export ", "", "\n", "?", "&", "see https://host.net/a?"), pick("i", "id", "uuid", "order", "page", "version", "card", "name"), pick("l", "=", "=", ":", "=\"", "='"))).otherwise(
         F.concat(pick("o", "in the ", "order ", "see ", "number ", "version ", "for token ", "and then ", "card "), pick("q", "", "", "", "= ", "\""))
     )
-    after = F.when(before.endswith('"'), '" and').when(before.endswith("'"), "' and").otherwise(" and then")
+    after = F.when(~secret & (form == 7), pick("C", "=", "=\"", ": ", " = ", "\": \"")).when(before.endswith('"'), '" and').when(before.endswith("'"), "' and").otherwise(" and then")
     rows = spark.range(n).withColumn("label", F.pmod(F.xxhash64(F.lit("y"), i), F.lit(2)).cast("double"))
     path = F.when(secret, pick("p", "src0", "app/settings", "deploy/env", "src7")).otherwise(pick("r", "src0", "docs/guide", "src3", "tests/fixtures", "app/main"))
     return rows.select("label", value.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), size.alias("spare")).drop("spare")
@@ -100,6 +115,8 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
 def candidates(docs: DataFrame, path: Column) -> DataFrame:
     """One row per candidate of the whole text: doc_id, text_key, place (from 0), start, candidate, before, after, path.
 
+    `before` reaches into the candidate before, which may be a long name.
+
     Texts without one stop at the pattern; for the others the text is split at the candidates, so that each stands
     between the two parts that are its neighbours.
     """
@@ -114,7 +131,7 @@ def candidates(docs: DataFrame, path: Column) -> DataFrame:
     each = cut.withColumn("starts", starts).withColumn("places", F.sequence(F.lit(0), F.size("hits") - 1)).withColumn("place", F.explode("places"))
     return each.select(
         "doc_id", "text_key", "place", F.get("starts", "place").alias("start"), F.get("hits", "place").alias("candidate"),
-        F.substring(F.get("parts", "place"), -BESIDE, BESIDE).alias("before"), F.substring(F.get("parts", F.col("place") + 1), 1, BESIDE).alias("after"), "path",
+        F.substring(F.concat(F.coalesce(F.get("hits", F.col("place") - 1), F.lit("")), F.get("parts", "place")), -BESIDE, BESIDE).alias("before"), F.substring(F.get("parts", F.col("place") + 1), 1, BESIDE).alias("after"), "path",
     )
 
 

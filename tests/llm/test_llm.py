@@ -456,6 +456,30 @@ def test_secrets(spark):
     assert secrets.scan(frame.where("false"), model).count() == 0
 
 
+def verdicts(spark, model, texts):
+    """Candidates of each text that are voted secret, and the others."""
+    found = secrets.scan(docs(spark, texts), model).collect()
+    return [({x.candidate for x in found if x.doc_id == i and x.is_secret}, {x.candidate for x in found if x.doc_id == i and not x.is_secret}) for i in range(len(texts))]
+
+
+def test_secrets_glued_in_urls_and_bare(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    r = random.Random(21)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    new = lambda n, s=alnum: "".join(r.choice(s) for _ in range(n - 1)) + "7"
+    glued = [(f, new(k, s)) for f in ("export api_key={}", "A=1\nAUTH_TOKEN={}\nB=2", "get https://h.net/a?token={}&x=1", "MY_SERVICE_V2_API_KEY={}", "password:{}") for k, s in ((40, "0123456789abcdef"), (32, alnum))]
+    bare = [(f, p + new(n, s)) for f in ("use {} now", "{}", "see\n{}\nend") for p, n, s in (("AKIA", 16, alnum[:26] + "234567"), ("ghp_", 36, alnum), ("sk_live_", 24, alnum))]
+    cases = glued + bare
+    got = verdicts(spark, model, [f.format(k) for f, k in cases])
+    assert [k for (_, k), (yes, _) in zip(cases, got, strict=True) if k not in yes] == []
+    other = ["commit=" + "24be64f2be8b9ea9ac2c9ddab1e86aa8f0b9b3f0", "see https://host.net/archive/2024/05/page", "?id=4111222233334444&x=1", "in src/main/service/v2/config"]
+    assert [yes for yes, _ in verdicts(spark, model, other)] == [set()] * 4
+    out = secrets.stage(spark, docs(spark, [f.format(k) for f, k in cases]), "").collect()
+    assert {x.doc_id: x.text for x in out} == {i: f.format("[SECRET]") for i, (f, _) in enumerate(cases)}
+    padded = secrets.scan(docs(spark, ["token = " + "Ab3" * 8 + "=="]), model).collect()
+    assert [x.candidate for x in padded] == ["Ab3" * 8 + "=="]
+
+
 # --- 10 quality ----------------------------------------------------------------------------------------------------
 
 
