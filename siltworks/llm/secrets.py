@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from .base import documents, settle
 
-#: A run of 16 or more token characters with a digit among them, possessive so that long runs cost one pass. A name
-#: before "=" is no part of it; "=" belongs to it as padding at its end only.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_\-]{0,400}+[0-9])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_=\-\"']))?"
 #: Characters of text on either side that count as neighbouring words.
 BESIDE = 64
 #: Labelled findings that the forest is fitted on, at most.
@@ -24,6 +21,19 @@ MASK = "[SECRET]"
 
 # Words beside a candidate that speak for and against a secret, and parts of paths of examples.
 NAMES = "token|secret|passwd|password|api_key|apikey|access_key|auth|bearer|credential|private_key"
+
+# What stands right before an assigned value: a naming word, the rest of its name, a sign, perhaps a quote. It is only
+# looked for after a sign, which is looked for first.
+_SIGN = r"(?<=[=:>\s\"'])(?<=[=:]>?\s{0,3}[\"']?)"
+_NAMED = rf"(?<=(?i:{NAMES})s?(?:[_\-0-9][A-Za-z0-9_\-]{{0,24}})?[\"']?\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}"
+_TOKEN = r"[A-Za-z0-9+/_\-]"
+#: Values of any length and kind behind a naming word with "=" or ":" (quoted ones to their quote); and runs of 16 or more
+#: token characters with a digit anywhere among them, dots within, "=" as padding at their end only. All is possessive
+#: and a run is entered at its start only, so that long runs cost one pass.
+CANDIDATE = (
+    rf"{_SIGN}(?:{_NAMED}[\"'])[^\s\"']++(?=[\"'])|{_NAMED}[\"']?)[^\s\"'`,;<>(){{}}\[\]&?=|]++(?:={{1,2}}+(?![^\s\"'&,;]))?)"
+    rf"|(?<!{_TOKEN})(?<!{_TOKEN}\.)(?=[A-Za-z+/_.\-]*+[0-9])(?=[A-Za-z0-9+/_.\-]{{16}}){_TOKEN}++(?:\.{_TOKEN}++)*+(?:={{1,2}}+(?![A-Za-z0-9+/_=\-\"']))?"
+)
 HARMLESS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|revision|isbn|order|invoice|card|account|phone|example|sample|dummy"
 EXAMPLES = "test|example|sample|fixture|docs|demo"
 # Starts by which keys of known services show without a naming word.
@@ -31,7 +41,8 @@ PREFIXES = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[srp]k_(live|test)_|xox[a
 # Common words and parts of words whose letters do not look random.
 DICTIONARY = (
     "the|and|ing|tion|ent|ment|for|with|that|this|from|have|key|user|name|data|file|test|example|sample|value|"
-    "number|string|class|config|default|service|server|client|change|your|here|abc|123456|000000|xxxx"
+    "number|string|class|config|default|service|server|client|change|your|here|abc|123456|000000|xxxx|"
+    "required|optional|none|null|true|false|self|environ|getpass|must|not|field|valid|expired|reset"
 )
 FEATURES = ("length", "digits", "uppers", "changes", "distinct", "hexes", "coverage", "path_example", "named", "assigned", "quoted", "harmless", "prefixed", "naming")
 
@@ -68,12 +79,11 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
     """Findings with a label, 1 for a secret: `n` of them, made by rule from their number alone, the same each time.
 
     Secrets are random hex, base64 or prefixed keys: beside naming words, glued to names by "=" or ":" (also names without
-    a naming word, and in URLs), or prefixed keys alone. Others are numbers, identifiers, checksums, placeholders and
+    a naming word, and in URLs), prefixed keys and dotted tokens alone, or short passwords beside naming words. Others are numbers, identifiers, checksums, placeholders and
     compound words, some beside the same naming words or glued to other names, paths, and long names before a value.
     """
     i = F.col("id")
-    hexes = F.sha2(F.concat(F.lit("s"), i.cast("string")), 256)
-    b64 = F.translate(F.base64(F.unhex(hexes)), "=", "")
+    hexes, b64 = F.col("hexes"), F.col("b64")
     pick = lambda salt, *xs: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(xs))) + 1).cast("int"))
     size = (F.lit(20) + F.pmod(F.xxhash64(F.lit("n"), i), F.lit(24))).cast("int")
     digits = F.regexp_replace(F.conv(F.substring(hexes, 1, 15), 16, 10), "-", "")
@@ -88,9 +98,21 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
     key = pick("x", F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(b64, 1, 24)))
     route = F.concat(pick("u", "/guide/config/page", "src/main/service/v", "//host.net/archive/", "usr/share/data/file-"), F.pmod(i, F.lit(1000)).cast("string"), pick("t", "", "/index", "/the-name-of-it"))
     name = F.concat(pick("A", "MY_SERVICE_V", "APP_CONFIG_", "aws_account_", "x-client-h"), F.pmod(i, F.lit(10)).cast("string"), pick("B", "_API_KEY", "_SECRET_TOKEN", "_HOST_NAME", "-auth-token"))
-    value = F.when(~secret & (form == 7), name).when(secret & form.isin(6, 7), key).when(~secret & (form == 6), route).otherwise(value)
+    web = F.translate(b64, "+/", "-_")
+    dotted = pick("E", F.concat(F.lit("eyJ"), F.substring(web, 1, 17), F.lit(".eyJ"), F.reverse(web), F.lit("."), web), F.concat(F.lit("SG."), F.substring(web, 1, 22), F.lit("."), F.reverse(web)))
+    key = F.when(form == 7, dotted).otherwise(key)
+    low = F.translate(F.substring(F.translate(hexes, "0123456789", "ghkmprstwy"), 1, 8), "f", "o")
+    short = pick("G", F.concat(low, F.pmod(i, F.lit(100)).cast("string")), F.substring(b64, 1, 10), F.substring(b64, 1, 14), F.translate(F.substring(b64, 1, 20), "0123456789+/", ""), F.concat(low, F.reverse(low)), F.concat(F.substring(b64, 1, 6), F.lit("!"), F.pmod(i, F.lit(50)).cast("string")), F.concat(F.lit("hunter"), F.pmod(i, F.lit(10)).cast("string"), low), F.concat(F.substring(low, 1, 6), F.pmod(i, F.lit(100)).cast("string"), pick("I", "secret", "Pass", "user", "key", "admin")))
+    plain = pick("H", "required", "optional", "none", "None", "null", "true", "false", "string", "os.environ", "getpass.getpass", "self.token", "config.password", "must", "the", "not", "your-password", "changeme", "12", "3600", "a", "is", "xxxxxxxx", "expired", "reset")
+    value = F.when(secret & (form == 8), short).when(~secret & (form == 8), plain).when(~secret & (form == 7), name).when(secret & form.isin(6, 7), key).when(~secret & (form == 6), route).otherwise(value)
+    rows = spark.range(n).withColumn("label", F.pmod(F.xxhash64(F.lit("y"), i), F.lit(2)).cast("double")).withColumn("hexes", F.sha2(F.concat(F.lit("s"), i.cast("string")), 256))
+    rows = rows.withColumn("b64", F.translate(F.base64(F.unhex(hexes)), "=", ""))
+    rows = settle(rows.withColumn("candidate", value))
+    value = F.col("candidate")
     hashlike = (F.length(value) >= 40) & ~secret
     before = F.when(
+        form == 8, F.concat(pick("f", "the ", "set ", "", "with new "), pick("b", "token", "api_key", "password", "secret", "DB_PASSWORD", "auth"), pick("e", " = \"", "=", ": ", " = '", ": \""))
+    ).when(
         secret & form.isin(3, 4, 5), F.concat(pick("g", "export ", "", "\n", "?", "&", "see https://host.net/a?"), pick("m", "api_key", "TOKEN", "auth_token", "client_secret", "password", "access_token", "STRIPE_KEY", "DB_PASS"), pick("l", "=", "=", ":", "=\"", "='"))
     ).when(secret & form.isin(6, 7), pick("a", "", "the ", "use ", "key ", "and then ", "- ", "see ", "X=")).when(
         secret, F.concat(pick("f", "the ", "set ", "", "with new "), pick("b", "token", "api_key", "password", "secret", "access_key", "auth", "TOKEN", "client credential"), pick("e", " = \"", "=", ": ", " = '", ": \""))
@@ -100,9 +122,8 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
         F.concat(pick("o", "in the ", "order ", "see ", "number ", "version ", "for token ", "and then ", "card "), pick("q", "", "", "", "= ", "\""))
     )
     after = F.when(~secret & (form == 7), pick("C", "=", "=\"", ": ", " = ", "\": \"")).when(before.endswith('"'), '" and').when(before.endswith("'"), "' and").otherwise(" and then")
-    rows = spark.range(n).withColumn("label", F.pmod(F.xxhash64(F.lit("y"), i), F.lit(2)).cast("double"))
     path = F.when(secret, pick("p", "src0", "app/settings", "deploy/env", "src7")).otherwise(pick("r", "src0", "docs/guide", "src3", "tests/fixtures", "app/main"))
-    return rows.select("label", value.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), size.alias("spare")).drop("spare")
+    return rows.select("label", "candidate", before.alias("before"), after.alias("after"), path.alias("path"), size.alias("spare")).drop("spare")
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
