@@ -143,6 +143,28 @@ def test_licences(spark):
     assert licences.scan(frame.where("false"), F.col("path")).count() == 0
 
 
+def test_full_licence_files_and_wrapped_headers(spark):
+    from pathlib import Path
+
+    texts = {f.stem: f.read_text() for f in (Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    rows, want = [], []
+    for k, name in enumerate(("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "GPL-2.0")):
+        rows += [(f"{k}/LICENSE", texts[name].replace("<year> <copyright holders>", "2024 Some One")), (f"{k}/src/x.py", "x = 1")]
+        want += [(f"{k}/LICENSE", name, name, None), (f"{k}/src/x.py", None, name, f"{k}")]
+        rows += [(f"n{k}/about", texts[name]), (f"n{k}/src/x.py", "x = 1")]
+        want += [(f"n{k}/about", name, name, None), (f"n{k}/src/x.py", None, name, f"n{k}")]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY."
+    mit = texts["MIT"].split("\n\n")[2]
+    for at, head, mark, name in (("h/a.py", gpl, "# ", "GPL-3.0"), ("h/b.c", gpl, " * ", "GPL-3.0"), ("h/c.js", mit, "// ", "MIT")):
+        rows.append((at, "\n".join((mark + x).rstrip() for x in head.split("\n")) + "\n\n" + "code = other + thing\n" * 300))
+        want.append((at, name, name, None))
+    rows.append(("h/d.py", "x"))
+    want.append(("h/d.py", None, None, None))
+    frame = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string")
+    got = [tuple(r) for r in licences.scan(frame, F.col("path")).select("path", "own_licence", "licence", "inherited_from").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- 3 substrings --------------------------------------------------------------------------------------------------
 
 
