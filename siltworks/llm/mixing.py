@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, n_words, ranked, settle
+from .base import documents, n_words, ranked, settle, store
 
 #: Weights of the sources, in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -54,7 +54,7 @@ def position(done: Column, share: Column, tilt: Column) -> Column:
     return F.when((b + root) > 0, F.least(F.lit(1.0), 2.0 * c / (b + root))).otherwise(F.lit(0.0))
 
 
-def mix(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, tilt: float = TILT, seed: int = 7) -> DataFrame:
+def mix(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, tilt: float = TILT, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds source_size, target, taken, copies, position and stream (its place in the source's shuffled stream).
 
     `units` has doc_id, source, size (words, long). Every source is a stream of its documents in an order hashed from
@@ -63,9 +63,10 @@ def mix(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     So taken words of a source are its rounded target. Shares drift: weightier sources rise, lighter ones sink, and
     shares sum to 1 at all times. Reruns agree, also where doc_id repeats (equal rows stay equal as a set).
     Nulls: a null source is a source of its own, the last; a null doc_id hashes as any value; a null size counts 0.
+    Columns of `units` named in `keep` stay, and order rows that agree in all else.
     Documents without words get taken 0 and position 0. An empty table gives an empty result.
     """
-    units = units.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    units = units.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *keep)
     table = targets(units, weights, most)
     # Shares at time t: q + d * (2t - 1), with d = tilt * q * (z - mean of z) and z in 0..1 rising with the weight.
     low, high = float(min(weights)), float(max(weights))
@@ -75,10 +76,10 @@ def mix(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     q = F.col("target") / F.lit(whole)
     table = table.withColumns({"q": q, "d": F.lit(float(tilt)) * q * (z - F.lit(mean))})
     key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    rows = ranked(units.withColumns({"last": F.col("source").isNull(), "key": key}), *map(F.col, ("last", "source", "key", "doc_id", "size")), weight="size")
+    rows = ranked(units.withColumns({"last": F.col("source").isNull(), "key": key}), *map(F.col, ("last", "source", "key", "doc_id", "size", *keep)), weight="size")
     at = F.col("u.before") - F.col("s.begin")
     joined = rows.alias("u").join(table.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select(
-        "u.doc_id", "u.source", "u.size", "s.source_size", "s.target", "s.q", "s.d", at.alias("stream")
+        "u.doc_id", "u.source", "u.size", "s.source_size", "s.target", "s.q", "s.d", at.alias("stream"), *[f"u.{c}" for c in keep]
     )
     goal = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) AS long) div source_size")).otherwise(F.lit(0)).cast("long")
@@ -100,23 +101,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: documents as often as taken, in training order, with the columns of `docs`.
 
-    Rows that share a doc_id are taken alike, by the plan of the shortest. The document that the end of the last
-    epoch cuts keeps its first words, joined by spaces. A document without words, or beyond its source's target, is
-    not taken. n_chars, where it is a column, is set anew for a cut text.
+    Every document is taken whole: the last epoch ends at the boundary of a document that is nearest to the target, so
+    that the words taken from a source differ from its rounded target by at most half a document. Each row has a plan of
+    its own, also where doc_id repeats or is null. A document without words, or beyond its source's target, is not taken.
     """
-    from .base import words
-
-    plan = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    own = F.struct("size", "source_size", "target", "q", "d", "stream", "part", "copies")
-    plan = settle(plan.where("copies > 0").groupBy("doc_id").agg(F.min(own).alias("p")))
     # The document stays one struct, so that its columns' names cannot meet the plan's.
-    rows = docs.select(F.struct("*").alias("doc")).join(plan, F.col("doc.doc_id").eqNullSafe(plan["doc_id"]))
-    rows = rows.select("doc", "p.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.copies") - 1)).alias("copy"))
-    cut = (F.col("copy") == F.col("copies") - 1) & F.col("part").between(F.lit(1), F.col("size") - 1)
-    text = F.when(cut, F.array_join(F.slice(words(F.col("doc.text")), 1, F.col("part").cast("int")), " ")).otherwise(F.col("doc.text"))
+    docs_ = store(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    units = docs_.select("doc.doc_id", "doc.source", n_words(F.col("doc.text")).alias("size"), F.xxhash64("doc").alias("tie"), "row")
+    plan = mix(units, keep=("tie", "row"))
+    times = F.col("epochs") + (F.col("part") * 2 >= F.col("size")).cast("long")
+    plan = settle(plan.where("size > 0").withColumn("times", times).where("times > 0").select("row", "source_size", "target", "q", "d", "stream", "times"))
+    rows = docs_.join(plan, "row").select("doc", "source_size", "target", "q", "d", "stream", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("copy"))
     done = (F.col("copy") * F.col("source_size") + F.col("stream")) / F.col("target")
-    rows = rows.select("doc", "copy", position(done, F.col("q"), F.col("d")).alias("at"), cut.alias("cut"), text.alias("text"))
+    rows = rows.select("doc", "copy", position(done, F.col("q"), F.col("d")).alias("at"))
     by = [F.col("at"), F.col("doc.doc_id"), F.col("copy")]
-    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
-    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).select("doc.*")

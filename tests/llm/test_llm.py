@@ -391,6 +391,30 @@ def test_curriculum_positions(spark):
     assert abs(sum(len(x.text.split()) for x in out.collect()) - 240) <= 3 and out.columns == docs(spark, ["x"]).columns
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mixed_documents_stay_whole(spark, seed):
+    """Against plain Python: whole texts, as often as the nearest boundary asks, also where ids repeat or are null."""
+    r = random.Random(seed)
+    rows = [(i, "\n".join(" ".join(f"d{i}w{k}" for k in range(r.randint(1, 9))) for _ in range(r.randint(1, 8))), f"s{min(i % 4, 2)}") for i in range(60)]
+    rows += [(100, "long\n" * 997, "t0"), (101, "other text\n" * 800, "t1"), (None, "n one\n two", "s0"), (None, "n three  four five six", "s0"), (7, "seven\nagain", "s1"), (8, "", "s1"), (9, None, "t2")]
+    frame = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((x.doc_id, x.text, x.source, x.n_chars) for x in mixing.stage(spark, frame, "").collect())
+    names = sorted({s for *_, s in rows})
+    sizes = [sum(len((t or "").split()) for _, t, x in rows if x == s) for s in names]
+    want = Counter()
+    for s, whole, target in zip(names, sizes, water(sizes, [i % 3 + 1 for i in range(len(names))]), strict=True):
+        goal, at = math.floor(target + 0.5), 0
+        epochs = goal // whole if whole else 0
+        key = lambda x: (hashlib.md5(("7" if x[0] is None else f"7/{x[0]}").encode()).hexdigest(), len((x[1] or "").split()))
+        for i, t, _ in sorted((x for x in rows if x[2] == s and (x[1] or "").split()), key=key):
+            n = len(t.split())
+            part = min(max(goal - epochs * whole - at, 0), n)
+            want[(i, t, s, len(t))] += epochs + (2 * part >= n)
+            at += n
+        assert abs(sum(len(t.split()) * k for (_, t, x, _), k in got.items() if x == s) - goal) <= max((len((t or "").split()) for _, t, x in rows if x == s)) / 2
+    assert got == +want
+
+
 # --- 8 near-duplicates ---------------------------------------------------------------------------------------------
 
 
