@@ -53,6 +53,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, per: int = 50_000) -> tuple[DataFrame, int]:
+    """Like settle(), with the number of rows; read in partitions of some `per` rows, so that few rows make few tasks."""
+    out = settle(df)
+    n = out.count()
+    return out.coalesce(1 + n // per), n
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files and checkpoints that nothing refers to any more: the driver's collector finds them."""
     gc.collect()

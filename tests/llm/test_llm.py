@@ -11,7 +11,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltworks.llm import embeddings, graph, licences, minhash, mixing, packing, quality, secrets, sharding, shingles, substrings, urls
 
@@ -439,12 +438,10 @@ def brute_near(rows, words, percent):
     return sorted(((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets), key=str)
 
 
-@pytest.mark.parametrize(("words", "heavy"), [(4, 20_000), (4, 0), (5, 0)])
-def test_near_duplicates(spark, words, heavy, monkeypatch):
-    monkeypatch.setattr(minhash, "HEAVY", heavy)
-    monkeypatch.setattr(minhash, "PROBES", 0 if heavy == 0 else 1)
+@pytest.mark.parametrize(("words", "seed"), [(4, 3), (4, 30), (5, 31)])
+def test_near_duplicates(spark, words, seed):
     texts = corpus(11 + words, n=110)
-    r = random.Random(3)
+    r = random.Random(seed)
     base = [f"w{r.randrange(400)}" for _ in range(90)]
     for _ in range(40):  # a chain and a cloud of near copies about the threshold
         w = list(base)
@@ -464,9 +461,26 @@ def test_near_duplicates(spark, words, heavy, monkeypatch):
     assert got == brute_near(rows, words, 80)
     kept = minhash.stage(spark, frame, "").collect()
     assert len({x.doc_id for x in kept}) == len(kept)
+    mixed = frame.unionByName(docs(spark, ["a quite other text"], [ids[1]]))
+    assert sorted(map(str, minhash.stage(spark, mixed, "").collect())) == sorted(map(str, minhash.stage(spark, mixed.repartition(5), "").collect()))
     assert minhash.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_a_large_group_of_copies_about_the_threshold(spark):
+    """Edits of their own put many copies of one text apart; chains and shared edits link some again."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for k in range(160):
+        w = list(r.choice([base, texts[-1].split() if texts else base]))
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(120)] = r.choice([f"x{k}.{r.randrange(99)}", f"y{r.randrange(4)}"])
+        texts.append(" ".join(w))
+    frame = docs(spark, texts)
+    got = sorted((tuple(x) for x in minhash.near_duplicates(frame, 4, 80).collect()), key=str)
+    assert got == brute_near(list(enumerate(texts)), 4, 80)
+
+
 def test_signatures_estimate_similarity():
     g = np.random.default_rng(1)
     errors = []
@@ -624,7 +638,3 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     masked = spark.read.parquet(f"{at}/secret_scan").where("doc_id = 6").first()
     assert key not in masked.text and "[SECRET]" in masked.text
     assert sorted(map(str, pipeline.run(spark, at).drop("sequence_id", "offset").collect())) == sorted(map(str, cur.drop("sequence_id", "offset").collect()))
-
-
-def test_schemas(spark):
-    assert isinstance(substrings.remove_repeats(docs(spark, ["a b"])).schema, T.StructType)
