@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
 import sys
 import types
-import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import documents, plus, ranked, settle
+from .base import documents, ranked, release, settle
 
 CAPACITY = 4096
 END = 1
-#: Distinct words whose ids a worker remembers at a time, bytes of text that it takes at once, and words in one call.
-REMEMBERED, AT_ONCE, CALL = 1_000_000, 2_000_000, 5_000
+#: Bytes of text that a worker takes at once, and pre-tokens in one call of the tokeniser.
+AT_ONCE, CALL = 2_000_000, 5_000
+#: Bytes of words and of pre-tokens, with their ids, that a worker remembers at a time; an entry counts OBJECT bytes besides.
+WORDS, PARTS, OBJECT = 96_000_000, 64_000_000, 150
+#: Documents and gaps that one task matches in a round.
+SHARE = 20_000
 
 
 def vocabulary() -> str:
@@ -42,54 +50,66 @@ def portions(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
         yield some
 
 
+#: Words whose pre-tokens are sure: ASCII and the precomposed letters of Latin-1, which no normalisation changes.
+_SURE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: In lower case, as the vocabulary's pre-tokeniser cuts them; a blank ends a word.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ a-z0-9\u00df-\u00f6\u00f8-\u00ff]+| ")
+
+
 class WordIds:
     """The ids of words, as little-endian bytes, remembered in bounded space.
 
-    Words of letters, with or without a mark at their end, are one or two pre-tokens; many such are encoded in one call,
-    and the tokens that end pre-tokens tell the words apart. All other words are encoded one by one.
+    Words are cut into lower-case pre-tokens by one pattern; only pre-tokens that are new are encoded, many in one call,
+    and the tokens that end pre-tokens tell them apart. Words outside _SURE, and those that may hold a special token, are
+    encoded whole, one by one.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.path, self.ids, self.tok = path, {}, Tokenizer.from_file(path)
+        self.path, self.ids, self.parts, self.size, self.parts_size, self.tok = path, {}, {}, 0, 0, Tokenizer.from_file(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
 
-    @staticmethod
-    def pretokens(word: str) -> int:
-        """1 or 2 where that is sure, else 0."""
-        low = word.lower()
-        if not low.isascii() and not (unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)):
-            return 0
-        return 1 if low.isalpha() and word.isalpha() else 2 if word[-1] in ".,;:!?" and low[:-1].isalpha() and word[:-1].isalpha() else 0
-
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
-            new = list(dict.fromkeys(words))
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, new: list[str]) -> None:
         for i in range(0, len(new), CALL):
-            some = [(w, w.decode()) for w in new[i : i + CALL]]
-            counted = [(w, t, self.pretokens(t)) for w, t in some]
-            plain = [x for x in counted if x[2]]
-            odd = [x[:2] for x in counted if not x[2]]
-            if plain:
-                ids = np.asarray(self.tok.encode_batch_fast([" ".join([t for _, t, _ in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
-                last = np.flatnonzero(self.ends[ids])
-                upto = np.cumsum([n for _, _, n in plain])
-                if len(last) == upto[-1]:
-                    cuts, body = ((last[upto - 1] + 1) * 4).tolist(), ids.tobytes()
-                    at = 0
-                    for (w, _, _), to in zip(plain, cuts, strict=True):
-                        self.ids[w] = body[at:to]
-                        at = to
-                else:
-                    odd += [x[:2] for x in plain]
-            for (w, _), e in zip(odd, self.tok.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
-                self.ids[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+            some = new[i : i + CALL]
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some):
+                body, cuts = ids.tobytes(), ((last + 1) * 4).tolist()
+                self.parts.update(zip(some, map(body.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+                self.parts_size += len(body) + OBJECT * len(some)
+            else:
+                self.parts.update(zip(some, self._whole(some), strict=True))
+                self.parts_size += 2 * OBJECT * len(some)
+
+    def learn(self, docs: list[list[bytes]]) -> None:
+        """Afterwards `ids` has all words of these documents."""
+        new = set(itertools.filterfalse(self.ids.__contains__, itertools.chain.from_iterable(docs)))
+        if self.size > WORDS and new:
+            self.ids, self.size = {}, 0
+            new = set(itertools.chain.from_iterable(docs))
+        if self.parts_size > PARTS:
+            self.parts, self.parts_size = {}, 0
+        texts = {w: w.decode() for w in new}
+        sure = [w for w, t in texts.items() if _SURE.fullmatch(t) and "<|" not in t]
+        found = _PARTS.findall(" ".join([texts[w] for w in sure]).lower())
+        self._learn_parts(list(set(found) - self.parts.keys() - {" "}))
+        known, at, ids = self.parts, 0, self.ids
+        ends = [k for k, x in enumerate(found) if x == " "] + [len(found)]
+        for w, to in zip(sure, ends, strict=False):
+            ids[w] = known[found[at]] if to - at == 1 else b"".join([known[x] for x in found[at:to]])
+            at = to + 1
+        odd = list(new.difference(sure))
+        for w, body in zip(odd, self._whole([texts[w] for w in odd]), strict=True):
+            ids[w] = body
+        self.size += sum(map(len, new)) * 3 + OBJECT * len(new)
 
 
 def worker_ids(path: str) -> WordIds:
@@ -104,7 +124,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     """Tokenises whole texts; one row per piece: doc_id, piece, start, length, ids_crc32.
 
     The vocabulary's pre-tokeniser never joins characters across white space, so ids are found per word between ASCII
-    blanks and remembered; what a worker remembers is bounded. A null text is empty and yields its end id alone.
+    blanks and remembered; what a worker remembers is bounded in bytes. A null text is empty and yields its end id alone; a
+    text of any length is tokenised whole.
     """
     path = tokenizer or vocabulary()
 
@@ -114,9 +135,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for b in batches:
             out: list[tuple] = []
             for some in portions(zip(b["doc_id"].to_numpy(dtype=object), b["text"], strict=True)):
-                known.learn([w for _, parts in some for w in parts])
+                known.learn([parts for _, parts in some])
                 for doc_id, parts in some:
-                    ids = b"".join([known.ids[w] for w in parts]) + end
+                    ids = b"".join(map(known.ids.__getitem__, parts)) + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -128,14 +149,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     )
 
 
-def sweep(counts: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int]]:
+def sweep(counts: list[tuple[int, int]], capacity: int, open_: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int, int]]:
     """Best fit, run by run: (first rank, documents a bin takes, first bin, their offset in it).
 
-    `counts` has (length, documents of that length), longest first; ranks count through them. Sequences with equal gaps
-    are interchangeable, so documents and gaps are held as runs sorted by size: at most `capacity` lengths and gaps,
-    whatever the input. Each round takes the longest waiting run, sweeps to its successor among the gaps (the least that
-    fits), gives the r-th document of the run the r-th sequence of the gap's run, updates the gaps and repeats; when no
-    gap fits, a run of new sequences opens. That places every document where best-fit-decreasing does.
+    `counts` has (length, documents of that length), longest first; ranks count through them. `open_` has (gap, bins with
+    it), smallest first; bins count through them, and new bins come after. Bins with equal gaps are interchangeable, so
+    documents and gaps are held as runs: at most `capacity` lengths and gaps. The longest waiting run goes to its
+    successor among the gaps (the least that fits), its r-th document to the r-th bin of the gap's run; when no gap fits,
+    a run of new bins opens. That places every document where best-fit-decreasing does.
     """
     gaps: dict[int, list[tuple[int, int]]] = {}
     order: list[int] = []
@@ -153,6 +174,9 @@ def sweep(counts: list[tuple[int, int]], capacity: int) -> list[tuple[int, int,
             else:
                 runs.append((first, n))
 
+    for gap, n in open_ or ():
+        put(gap, opened, n)
+        opened += n
     for length, n in counts:
         while n:
             k = bisect.bisect_left(order, length)
@@ -175,30 +199,76 @@ def sweep(counts: list[tuple[int, int]], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a `length` from 1 to capacity.
-
-    Pieces are range-sorted by falling length, then by id, so that each has a rank and equal lengths are spread over
-    tasks; the lengths' counts (at most `capacity` rows) are swept, and ranks look up their place in that plan.
+def match(lengths: np.ndarray, free: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of documents whose lengths fall, by best fit into bins whose free space rises, then into new ones."""
+    runs = [tuple(map(int, x)) for x in zip(*np.unique(lengths, return_counts=True), strict=True)][::-1]
+    gaps = [tuple(map(int, x)) for x in zip(*np.unique(free, return_counts=True), strict=True)]
+    p = np.array(sweep(runs, capacity, gaps), dtype=np.int64).reshape(-1, 4)
+    rank = np.arange(len(lengths))
+    r = p[np.searchsorted(p[:, 0], rank, side="right") - 1]
+    j = rank - r[:, 0]
+    return r[:, 2] + j // r[:, 1], r[:, 3] + (j % r[:, 1]) * lengths
+
+
+def _round(rows: DataFrame, which: int, tasks: int, capacity: int) -> DataFrame:
+    """One round: rows (size, a document's length or -1; gap, a sequence's free space or null) ranked by `pos` are dealt to `tasks`."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.drop("pos").schema])
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos").drop_columns(["pos"])
+        docs = table.filter(pc.field("gap").is_null())
+        gaps = table.filter(pc.field("gap").is_valid()).sort_by([("gap", "ascending"), ("sequence_id", "ascending")])
+        lengths, free = docs["length"].to_numpy(), gaps["gap"].to_numpy()
+        at, offset = match(lengths, free, capacity)
+        n = max(len(free), int(at.max(initial=-1)) + 1)
+        left = np.concatenate([free, np.full(n - len(free), capacity, dtype=np.int64)]) - np.bincount(at, weights=lengths, minlength=n).astype(np.int64)
+        task = table["task"][0].as_py()
+        ids = np.concatenate([gaps["sequence_id"].to_numpy(), ((which << 22) + task << 32) + np.arange(n - len(free))]).astype(np.int64)
+        # Best fit leaves at most one new sequence half empty; its documents wait for other tasks' gaps.
+        kept = (left < (capacity + 1) // 2) | (np.arange(n) < len(free)) if tasks > 1 else np.ones(n, dtype=bool)
+        done = kept[at]
+        put = lambda t, name, values: t.set_column(t.schema.get_field_index(name), name, values)
+        docs = put(docs, "sequence_id", pa.array(ids[at], mask=~done, type=pa.int64()))
+        docs = put(docs, "offset", pa.array(offset, mask=~done, type=pa.int64()))
+        empty = {f.name: pa.nulls(int(kept.sum()), f.type) for f in docs.schema} | {"sequence_id": pa.array(ids[kept]), "gap": pa.array(left[kept])}
+        out = pa.concat_tables([docs, pa.table([empty[f.name] for f in docs.schema], schema=docs.schema)])
+        return out.select(schema.names)
+
+    return rows.withColumn("task", (F.col("pos") % tasks).cast("int")).groupBy("task").applyInArrow(place, schema)
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a `length` from 1 to capacity: bulk-synchronous best fit.
+
+    Each round range-sorts the waiting documents by falling length and the open gaps by size, and deals both by rank, so
+    that every task (of some `share` rows) has the same mixture of sizes and no gap is in two. A task sweeps its
+    documents, longest first, to their successors among its gaps, the least that fit; those that meet at one gap go in by
+    rank, gaps are updated, and what fits none opens sequences. The documents of a new sequence that stays half empty wait:
+    with all gaps left they make the next round, then, without, a round of fewer tasks, until one task has them all.
+    With few rows there is one task, and sequences are those of best-fit-decreasing. Equal rows, null ids and clashing
+    column names do no harm; an empty table gives no rows.
     """
-    order = [F.col("length").desc(), *(F.col(c) for c in ("doc_id", "piece"))]
-    rows = settle(rows)
-    counts = [(r["length"], r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()]
-    plan = np.array(sweep(sorted(counts, reverse=True), capacity), dtype=np.int64).reshape(-1, 4)
-    shared = rows.sparkSession.sparkContext.broadcast(plan)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
-        for b in batches:
-            pos = b.pop("pos").to_numpy()
-            r = p[np.searchsorted(p[:, 0], pos, side="right") - 1]
-            j = pos - r[:, 0]
-            yield b.assign(sequence_id=r[:, 2] + j // r[:, 1], offset=r[:, 3] + (j % r[:, 1]) * b["length"].to_numpy())
-
-    placed = ranked(rows, *order)
-    schema = plus(rows, sequence_id="long", offset="long")
-    # doc_id may be null: as a nullable integer it stays exact.
-    return placed.mapInPandas(lambda bs: place(b.astype({"doc_id": "Int64"}) for b in bs), schema)
+    doc = F.struct("*").alias("doc")
+    waiting = settle(rows.select(doc, F.col("length").cast("long").alias("length")))
+    none = F.lit(None).cast("long")
+    waiting = waiting.select("doc", "length", none.alias("sequence_id"), none.alias("offset"), none.alias("gap"))
+    placed, gaps, n, which, n_gaps = [], None, waiting.count(), 0, 0
+    while n:
+        both = waiting if which % 2 == 0 else waiting.unionByName(gaps)
+        tasks = -(-(n + (n_gaps if which % 2 else 0)) // share)
+        order = [F.col("gap").isNotNull(), F.col("length").desc(), "gap", "sequence_id", "doc"]
+        out = settle(_round(ranked(both, *order), which, tasks, capacity))
+        docs, mine = out.where("gap IS NULL"), out.where("gap > 0")
+        placed.append(docs.where("sequence_id IS NOT NULL"))
+        gaps = mine if gaps is None or which % 2 else gaps.unionByName(mine)
+        waiting = docs.where("sequence_id IS NULL")
+        found = out.agg(F.count_if(F.expr("gap IS NULL AND sequence_id IS NULL")).alias("n"), F.count_if(F.expr("gap > 0")).alias("g")).first()
+        n, n_gaps, which = found["n"], found["g"] + (0 if which % 2 else n_gaps), which + 1
+        release(rows.sparkSession)
+    whole = placed[0] if placed else waiting
+    for x in placed[1:]:
+        whole = whole.unionByName(x)
+    return whole.select("doc.*", "sequence_id", "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,6 +281,35 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(frame.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("share", [15, 60, 100_000])
+def test_packing_rounds(spark, share):
+    """Many small tasks and rounds lose no document, fill no sequence over and need hardly more sequences than one task."""
+    r = random.Random(share)
+    rows = [(None if i % 50 == 7 else i // 2, r.choice([1, 2, 9, 31, 64, 64, 100, r.randint(1, 100)]), "x", "y") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, length long, gap string, pos string")
+    got = packing.pack(frame, 100, share).collect()
+    assert sorted(map(str, [tuple(x)[:4] for x in got])) == sorted(map(str, rows))
+    bins = defaultdict(list)
+    for x in got:
+        bins[x.sequence_id].append((x.offset, x.length))
+    for parts in bins.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 100
+    best = brute_bfd([n for _, n, *_ in rows], 100)
+    assert len(bins) == best if share > 400 else len(bins) <= best + 2
+    odd = [(1, " ".join(["Don't I'LL ''s a$$$ <|endoftext|> x<|startoftext|>y 1²½ ﬁ İ ſ e\u0301 a\u0085b \x1c é漢字9 it's!'re"] * 2))]
+    from tokenizers import Tokenizer
+
+    words = [w.encode() for w in odd[0][1].split(" ")]
+    known = packing.WordIds(packing.vocabulary())
+    known.learn([words])
+    tok = Tokenizer.from_file(packing.vocabulary())
+    assert all(known.ids[w] == np.array(tok.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words)
+
+
 def test_sweep_is_best_fit_decreasing():
     r = random.Random(9)
     for _ in range(40):
