@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, settle, store
+from .base import documents, release, settle, settled, store
 from .graph import components
 from .shingles import mixed
 
@@ -36,7 +36,7 @@ def plan(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
 
 
 def _codes(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
-    """Per vector: digest, bands of sign bits, code and correction factor, and its rotated unit vector."""
+    """Per vector: digest, bands of sign bits, code (64 bits a long) and correction factor, and its rotated unit vector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
@@ -47,11 +47,10 @@ def _codes(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
             for vec_id, v in zip(b["vec_id"].to_numpy(dtype=object), b["embedding"], strict=True):
                 # None within an array arrives as NaN.
                 x = np.asarray([] if v is None else v, dtype=np.float64)
-                size = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0.0
-                if not size:
-                    out.append((vec_id, None, None, None, None, None, None, None))
+                if not (len(x) and np.isfinite(x).all() and x.any()):
+                    out.append((vec_id, None, None, None, None, None, None, None, None))
                     continue
-                u = x / size
+                u = scaled(x[None])[0]
                 u /= np.sqrt(u @ u)
                 d = len(u)
                 if d not in known:
@@ -61,77 +60,142 @@ def _codes(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
                 signs = turned[: bits * bands] > 0
                 keys = (signs.reshape(bands, bits) * weights).sum(axis=1, dtype=np.uint64)
                 r = turned[:d]
-                low, high = xxhash.xxh128_intdigest((x + 0.0).tobytes()) & (2**64 - 1), xxhash.xxh128_intdigest((x + 0.0).tobytes()) >> 64
+                digest = xxhash.xxh128_intdigest((x + 0.0).tobytes())
+                code = np.packbits(np.concatenate([r > 0, np.zeros(-d % 64, dtype=bool)])).view("<i8")
                 out.append((
-                    vec_id, int(np.uint64(low).view(np.int64)), int(np.uint64(high).view(np.int64)), d,
+                    vec_id, int(np.uint64(digest & (2**64 - 1)).view(np.int64)), int(np.uint64(digest >> 64).view(np.int64)), d,
                     mixed(keys * np.uint64(2) + salt * np.uint64(d)).view(np.int64),
-                    np.packbits(r > 0).tobytes(), float(np.abs(r).sum() / math.sqrt(d)), r.astype("<f4").tobytes(),
+                    code, float(np.abs(r).sum() / math.sqrt(d)), r.astype("<f4").tobytes(), x,
                 ))
-            got = pd.DataFrame(out, columns=["vec_id", "k1", "k2", "dim", "bands", "code", "factor", "turned"], dtype=object)
+            got = pd.DataFrame(out, columns=["vec_id", "k1", "k2", "dim", "bands", "code", "factor", "turned", "embedding"], dtype=object)
             yield got.assign(**{c: got[c].astype("Int64") for c in ("vec_id", "k1", "k2", "dim")})
 
-    return vectors.mapInPandas(run, "vec_id long, k1 long, k2 long, dim int, bands array<long>, code binary, factor double, turned binary")
+    return vectors.mapInPandas(run, "vec_id long, k1 long, k2 long, dim int, bands array<long>, code array<long>, factor double, turned binary, embedding array<double>")
 
 
-def bound(turned: np.ndarray, code: np.ndarray, factor: float, sure: float = SURE) -> tuple[float, float]:
-    """The unbiased estimate of the inner product with the coded unit vector, and the half width of its bound."""
-    d = len(turned)
-    signs = np.where(np.unpackbits(code, count=d).astype(bool), 1.0, -1.0)
-    estimate = float(signs @ turned) / math.sqrt(d) / factor
-    return estimate, sure * math.sqrt(max(0.0, 1 - factor * factor)) / factor / math.sqrt(max(d - 1, 1))
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, exact, so that squares of the largest and smallest doubles stay finite."""
+    _, e = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -e)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the rows of two matrices, in double precision."""
+    x, y = scaled(x), scaled(y)
+    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+
+def bound(turned: np.ndarray, signs: np.ndarray, factor: np.ndarray, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: the unbiased estimate of the inner product with the vector of that code, and the half width of its bound."""
+    d = turned.shape[1]
+    estimate = (np.where(signs, 1.0, -1.0) * turned).sum(axis=1) / math.sqrt(d) / factor
+    return estimate, sure * np.sqrt(np.maximum(0.0, 1 - factor * factor)) / factor / math.sqrt(max(d - 1, 1))
+
+
+def _by_dim(dims: np.ndarray, f, out: np.ndarray) -> np.ndarray:
+    """`out` with f(rows) for the rows of each dimension."""
+    for d in np.unique(dims):
+        rows = np.flatnonzero(dims == d)
+        out[rows] = f(rows, int(d))
+    return out
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
+    """(a, b, cosine) of the pairs (a, b) that are linked.
+
+    Codes that differ in more bits than SURE deviations allow at the threshold are dropped first; then one's code and
+    factor and the other's rotated vector give estimate and bound; pairs whose bound reaches the threshold are computed.
+    """
+
+    @F.pandas_udf("boolean")
+    def worth(dim: pd.Series, turned: pd.Series, code: pd.Series, factor: pd.Series) -> pd.Series:
+        def reach(rows: np.ndarray, d: int) -> np.ndarray:
+            t = np.frombuffer(b"".join(turned.iloc[rows]), "<f4").reshape(len(rows), d).astype(np.float64)
+            c = np.unpackbits(np.stack(code.iloc[rows].to_list()).astype("<i8").view(np.uint8), axis=1, count=d)
+            e, w = bound(t, c.astype(bool), factor.iloc[rows].to_numpy())
+            return e + w >= cosine
+
+        return pd.Series(_by_dim(dim.to_numpy(), reach, np.zeros(len(dim), dtype=bool)))
+
+    @F.pandas_udf("double")
+    def exact(dim: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        of = lambda rows, _: cosines(np.stack(x.iloc[rows].to_list()), np.stack(y.iloc[rows].to_list()))
+        return pd.Series(_by_dim(dim.to_numpy(), of, np.zeros(len(dim))))
+
+    p = math.acos(cosine) / math.pi
+    most = f"dim * {p!r}D + {SURE!r}D * sqrt(dim * {p * (1 - p)!r}D)"
+    one, two = (nodes.select(F.col("id").alias(k), F.col("code").alias(f"c{k}"), "dim") for k in "ab")
+    differ = "aggregate(zip_with(ca, cb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    pairs, _ = settled(pairs.join(one, "a").join(two.withColumnRenamed("dim", "other"), "b").where(f"dim = other AND {differ} <= {most}").select("a", "b"))
+    one = nodes.select(F.col("id").alias("a"), "turned", "dim")
+    two = nodes.select(F.col("id").alias("b"), "code", "factor")
+    likely, _ = settled(pairs.join(one, "a").join(two, "b").where(worth("dim", "turned", "code", "factor")).select("a", "b"))
+    one = nodes.select(F.col("id").alias("a"), F.col("embedding").alias("x"), "dim")
+    two = nodes.select(F.col("id").alias("b"), F.col("embedding").alias("y"))
+    return settled(likely.join(one, "a").join(two, "b").select("a", "b", exact("dim", "x", "y").alias("cosine")).where(F.col("cosine") >= cosine))[0]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS) -> DataFrame:
     """Per row of `vectors` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Equal vectors are one class. Classes meet where a band of their sign bits under random rotations agrees; the number
-    of bands follows from the wanted recall at the threshold. For pairs that meet, the code and correction factor of one
-    and the rotated other give an unbiased estimate of the cosine and a confidence bound; only pairs whose bound reaches
-    the threshold are computed exactly, in double precision. n_links counts all other rows linked, copies included.
+    of bands follows from the wanted recall at the threshold. No bucket is expanded: its members are first compared with
+    its smallest. Those within half the threshold's angle of one are its ball, whose members are all linked with one
+    another, as angles add up; they are counted, not paired. Of what is left in a bucket, only members of other balls
+    than its largest are paired. n_links counts all other rows linked, copies included.
     A vector that is null, empty, zero or holds null or non-finite components links with nothing, and vectors of
-    unequal length never link. A row with a null vec_id is linked with nothing and kept. An empty table gives no rows.
+    unequal length never link. Vectors of any finite size are scaled exactly. Rows that share a vec_id are one id with
+    several vectors: each row counts the links of its own vector, and all are one component. A row with a null vec_id is
+    linked with nothing and kept. Other columns are not looked at. An empty table gives no rows.
     """
+    spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     bits, bands = plan(vectors.count(), cosine, miss)
     coded = store(_codes(vectors, bits, bands))
-    valid = coded.where("vec_id IS NOT NULL AND dim IS NOT NULL")
-    classes = settle(valid.groupBy("k1", "k2", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    reps = valid.join(classes.select(F.col("rep").alias("vec_id"), "k1", "k2", "dim"), ["vec_id", "k1", "k2", "dim"], "left_semi").dropDuplicates(["vec_id"])
-    spread = settle(reps.select(F.col("vec_id").alias("id"), F.explode("bands").alias("key")))
-    full = settle(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    met = settle(spread.join(full, "key"))
-    pairs = met.alias("x").join(met.alias("y"), F.expr("x.key = y.key AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = settle(pairs.distinct())
-
-    @F.pandas_udf("boolean")
-    def worth(turned: pd.Series, code: pd.Series, factor: pd.Series) -> pd.Series:
-        out = []
-        for t, c, f in zip(turned, code, factor, strict=True):
-            e, w = bound(np.frombuffer(t, "<f4").astype(np.float64), np.frombuffer(c, np.uint8), f)
-            out.append(e + w >= cosine)
-        return pd.Series(out, dtype=bool)
-
-    @F.pandas_udf("double")
-    def exact(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float(p @ q) / math.sqrt(float(p @ p) * float(q @ q)) for p, q in zip(x, y, strict=True)], dtype=float)
-
-    one = reps.select(F.col("vec_id").alias("a"), "turned", F.col("dim").alias("da"))
-    two = reps.select(F.col("vec_id").alias("b"), "code", "factor", F.col("dim").alias("db"))
-    likely = settle(pairs.join(one, "a").join(two, "b").where("da = db").where(worth("turned", "code", "factor")).select("a", "b"))
-    raw = vectors.dropDuplicates(["vec_id"])
-    left, right = raw.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), raw.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    links = settle(likely.join(left, "a").join(right, "b").where(exact("x", "y") >= cosine).select("a", "b"))
+    valid, key = coded.where("vec_id IS NOT NULL AND dim IS NOT NULL"), ["k1", "k2", "dim"]
+    classes = settle(valid.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))).withColumn("id", F.monotonically_increasing_id())
+    classes = settle(classes)
+    nodes = store(valid.join(classes, [*key]).where("vec_id = rep").drop("vec_id", "k1", "k2", "rep", "copies").dropDuplicates(["id"]))
+    spread = nodes.select("id", F.explode("bands").alias("key"))
+    full = settle(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").drop("n"))
+    met, _ = settled(spread.join(full, "key").where("id <> hub"), 200_000)
+    release(spark)
+    first = _linked(met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), nodes, cosine)
+    half = math.cos(math.acos(cosine) / 2) + 1e-9
+    balls = settled(first.where(F.col("cosine") >= half).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("ball")))[0]
+    release(spark)
+    named = met.join(balls, "id", "left").select("key", "id", F.coalesce("ball", "id").alias("ball"))
+    sizes = named.groupBy("key", "ball").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("ball", F.struct("c", "ball")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    apart, _ = settled(named.join(settle(main), "key"), 200_000)
+    other = F.expr("x.key = y.key AND x.ball <> y.ball AND (y.ball = y.main OR x.id < y.id)")
+    pairs = apart.where("ball <> main").alias("x").join(apart.alias("y"), other).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    links = first.unionByName(_linked(pairs.distinct(), nodes, cosine)).select("a", "b").distinct()
+    release(spark)
+    # What is in one ball is counted by the ball.
+    of = lambda k: balls.select(F.col("id").alias(k), F.col("ball").alias(f"ball_{k}"))
+    links = settle(links.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ball_a IS NULL OR ball_b IS NULL OR ball_a <> ball_b").select("a", "b"))
+    copies = classes.select("id", "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    named = settle(classes.join(settle(near), classes["rep"] == F.col("a"), "left").join(components(links), classes["rep"] == F.col("id"), "left").select(
-        "k1", "k2", "dim", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("root")
-    ))
+    beside = both.join(copies.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("beside"))
+    within = balls.join(copies, "id").groupBy("ball").agg(F.sum("copies").alias("all"))
+    within = settle(balls.join(settle(within), "ball").select("id", "all"))
+    # Rows with one vec_id are one id, whatever their vectors.
+    rows = valid.select("vec_id", *key).join(classes.select("id", *key), key).select("vec_id", "id")
+    twice = rows.groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("vec_id", "a")
+    same = rows.join(settle(twice), "vec_id").select("a", F.col("id").alias("b"))
+    tree = components(links.unionByName(balls.select(F.col("ball").alias("a"), F.col("id").alias("b"))).unionByName(same))
+    roots = classes.join(tree, "id", "left").select("id", *key, "rep", "copies", F.coalesce("root", "id").alias("root"))
+    lows = settle(roots.groupBy("root").agg(F.min("rep").alias("low")))
+    roots = roots.join(lows, "root").join(settle(beside), "id", "left").join(within, "id", "left")
+    n = F.coalesce("all", "copies") - 1 + F.coalesce("beside", F.lit(0))
+    found = settle(roots.select(*key, n.alias("n"), "low"))
     own = F.col("vec_id").isNotNull()
-    return coded.select("vec_id", "k1", "k2", "dim").join(named, ["k1", "k2", "dim"], "left").select(
+    return coded.select("vec_id", *key).join(found, key, "left").select(
         "vec_id",
         F.when(own, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(own, F.coalesce("root", "vec_id")).alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("root", "vec_id"), F.lit(True)).alias("kept"),
+        F.when(own, F.coalesce("low", "vec_id")).alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("low", "vec_id"), F.lit(True)).alias("kept"),
     )
 
 

@@ -110,6 +110,30 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_embeddings_of_all_sizes_in_a_dense_group(spark):
+    """A dense group is counted by balls; sizes from 1e-300 to 1e300; a vec_id with two vectors is one id, each row with its own links."""
+    g = np.random.default_rng(6)
+    base = g.standard_normal((3, 24))
+    vecs = [v * 10.0 ** g.integers(-300, 300) for v in (base[i % 3] + g.standard_normal(24) * g.choice([0.05, 0.15, 0.35]) for i in range(150))]
+    rows = [(i if i % 40 else 1000 + i % 80, list(map(float, v)), "extra") for i, v in enumerate(vecs)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string")
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(frame).collect())
+    unit = np.array([v / np.abs(v).max() for _, v, _ in ((i, np.array(v), x) for i, v, x in rows)])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    parent = {i: i for i, *_ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(*np.nonzero(near), strict=True):
+        p, q = find(rows[a][0]), find(rows[b][0])
+        parent[max(p, q)] = min(p, q)
+    assert got == sorted((i, int(near[k].sum()) - 1, find(i), find(i) == i) for k, (i, *_) in enumerate(rows))
+
+
 def test_embedding_bounds_are_unbiased_and_hold():
     g, errors, outside = np.random.default_rng(5), [], 0
     d = 64
@@ -118,9 +142,9 @@ def test_embedding_bounds_are_unbiased_and_hold():
         x, y = x / np.linalg.norm(x), y / np.linalg.norm(y)
         q, _ = np.linalg.qr(np.random.default_rng(t).standard_normal((d, d)))
         r, s = q @ x, q @ y
-        e, w = embeddings.bound(s, np.packbits(r > 0), float(np.abs(r).sum() / math.sqrt(d)))
-        errors.append(e - x @ y)
-        outside += abs(e - x @ y) > w
+        e, w = embeddings.bound(s[None], (r > 0)[None], np.array([np.abs(r).sum() / math.sqrt(d)]))
+        errors.append(e[0] - x @ y)
+        outside += abs(e[0] - x @ y) > w[0]
     assert abs(np.mean(errors)) < 4 * np.std(errors) / math.sqrt(len(errors)) and outside == 0
 
 
