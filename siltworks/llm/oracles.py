@@ -66,18 +66,18 @@ _VALUE = {
 }
 _HIT = "CASE WHEN n_words = 0 THEN false ELSE CASE rule " + " ".join(f"WHEN '{r}' THEN {_VALUE[r]} {s} cutoff" for r, s, _ in RULES) + " END END"
 _CUTS = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, _, cuts in RULES for i, c in enumerate(cuts))
-_P, _TESTS = RISK / len(RULES), sum(len(c) for _, _, c in RULES)
 OP10 = rf"""WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_SPLIT} AS ws FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3))),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(3) t(k) WHERE c > 1 GROUP BY doc_id),
 ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT w.doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-cuts(rule, rank, cutoff) AS (VALUES {_CUTS}),
+cuts(rule, level, cutoff) AS (VALUES {_CUTS}),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, (SELECT min(level) FROM cuts WHERE {_HIT}) AS severity FROM m),
 held AS (SELECT f.*, quality FROM f JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IN (0, 1)) x USING (doc_id) WHERE NOT base_failed),
-cells AS (SELECT lang, rule, rank, cutoff, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 0) AS bad, count(*) FILTER (WHERE quality = 1 AND {_HIT}) AS k, count(*) FILTER (WHERE quality = 0 AND {_HIT}) AS hits FROM held, cuts GROUP BY ALL),
-sure AS (SELECT *, hits / bad - k / n AS gain FROM cells WHERE n > 0 AND bad > 0 AND k < n * {_P!r} AND
- list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln({1 - _P!r})))) <= {DELTA} / ((SELECT count(DISTINCT coalesce(lang, chr(0))) FROM held) * {_TESTS})),
-best AS (SELECT lang, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, rank) AS o FROM sure WHERE gain > 0) WHERE o = 1),
-hit AS (SELECT DISTINCT f.doc_id FROM f JOIN best ON f.lang IS NOT DISTINCT FROM best.lang WHERE {_HIT})
+cells AS (SELECT lang, level, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 0) AS bad, count(*) FILTER (WHERE quality = 1 AND severity <= level) AS k, count(*) FILTER (WHERE quality = 0 AND severity <= level) AS hits
+ FROM held, (SELECT DISTINCT level FROM cuts) GROUP BY ALL),
+sure AS (SELECT *, bool_and(k < n * {RISK} AND
+ list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln({1 - RISK!r})))) <= {DELTA} / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM held)) OVER (PARTITION BY lang ORDER BY level) AS ok FROM cells WHERE n > 0),
+best AS (SELECT lang, level FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY hits / bad - k / n DESC, level) AS o FROM sure WHERE ok AND bad > 0 AND hits / bad > k / n) WHERE o = 1),
+hit AS (SELECT DISTINCT f.doc_id FROM f JOIN best ON f.lang IS NOT DISTINCT FROM best.lang WHERE f.severity <= best.level)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept FROM f"""

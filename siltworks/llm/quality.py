@@ -11,15 +11,18 @@ from .base import documents, settle, words
 
 #: Most of a stratum's good documents that all rules together may reject, and the chance that any bound fails.
 RISK, DELTA = 0.05, 0.05
-#: Name, side that is rejected, and candidate cutoffs, mildest first.
+#: Name, side that is rejected, and the cutoff at each level, mildest first: a level sets the cutoffs of all rules.
 RULES: tuple[tuple[str, str, tuple[float, ...]], ...] = (
-    ("symbols_per_word", ">", (1.0, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02)),
-    ("chars_per_word_high", ">", (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0)),
-    ("chars_per_word_low", "<", (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)),
-    ("dup_lines_per_word", ">", (0.5, 0.2, 0.1, 0.05, 0.02, 0.01)),
+    ("symbols_per_word", ">", (1.0, 0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02)),
+    ("chars_per_word_high", ">", (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.5, 8.0)),
+    ("chars_per_word_low", "<", (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 3.75, 4.0)),
+    ("dup_lines_per_word", ">", (0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01)),
     ("repeated_words", ">", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    ("few_words", "<", (60.0, 75.0, 100.0, 150.0)),
+    ("few_words", "<", (50.0, 50.0, 50.0, 55.0, 60.0, 75.0, 100.0, 150.0)),
 )
+LEVELS = len(RULES[0][2])
+#: Strata up to which their table is broadcast; beyond, documents are joined to it by a shuffle on a salted key.
+STRATA, SALTS = 10_000, 64
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -71,9 +74,15 @@ def ratio(rule: str) -> Column:
     return F.when(F.col("n_words") > 0, of[rule])
 
 
-def rejects(rule: str, side: str, cutoff: Column) -> Column:
-    value = ratio(rule)
-    return F.coalesce(value > cutoff if side == ">" else value < cutoff, F.lit(False))
+def severity() -> Column:
+    """The mildest level at which a rule rejects the document; LEVELS if none does."""
+    firsts = []
+    for rule, side, cuts in RULES:
+        value, first = ratio(rule), F
+        for level, cut in enumerate(cuts):
+            first = first.when(value > cut if side == ">" else value < cut, level)
+        firsts.append(first.otherwise(LEVELS))
+    return F.least(*firsts)
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -91,49 +100,58 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def thresholds(found: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, cutoffs): per stratum a map from rule to its cutoff; rules without a certified cutoff are absent.
-
-    The holdout is every labelled document that passes the base rules. A cutoff is certified if its false rejections k of n good ones would
-    be so few with probability at most delta / tests, were the true rate above risk / rules: the exact one-sided
-    binomial bound, with Bonferroni's correction over strata, rules and cutoffs. Of the certified cutoffs that reject
-    a larger part of the bad than of the good, the one with the largest difference is taken; ties: the mildest.
+    """(stratum, level, cutoffs): per stratum its level and, for reading, the cutoff of each rule there.
+
+    The holdout is every labelled document that passes the base rules. Levels are nested, and tested from the mildest on
+    until one fails (a fixed sequence, which needs no further correction); a level is certified if k or fewer false
+    rejections among n good documents would have probability at most delta / strata, were the true rate above `risk`: the
+    exact one-sided binomial bound, with Bonferroni's correction over strata. Of the certified levels that reject a larger
+    part of the bad than of the good, the one with the largest difference is taken; ties: the mildest. Strata without a
+    level are absent.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality").distinct()
-    rows = found.where("NOT base_failed").join(known, "doc_id")
-    good, cells = F.col("quality") == 1, []
-    for rule, side, cuts in RULES:
-        for order, cut in enumerate(cuts):
-            bad = rejects(rule, side, F.lit(cut))
-            cells.append(F.struct(F.lit(rule).alias("rule"), F.lit(order).alias("rank"), F.lit(cut).alias("cutoff"), F.count_if(bad & good).alias("k"), F.count_if(bad & ~good).alias("hits")))
+    rows = found.where("NOT base_failed").join(known, "doc_id").withColumn("severity", severity())
+    good, at = F.col("quality") == 1, lambda level: F.col("severity") <= level
+    cells = [F.struct(F.lit(level).alias("level"), F.count_if(at(level) & good).alias("k"), F.count_if(at(level) & ~good).alias("hits")) for level in range(LEVELS)]
     table = settle(rows.groupBy(stratum).agg(F.count_if(good).alias("n"), F.count_if(~good).alias("m"), F.array(*cells).alias("cells")))
-    tests = max(1, table.count()) * sum(len(c) for _, _, c in RULES)
+    strata = max(1, table.count())
     each = table.select(stratum, "n", "m", F.inline("cells"))
+    sure = binomial_tail(F.col("k"), F.col("n").cast("double"), risk) <= delta / strata
+    # The first level that fails ends the sequence.
+    chain = each.withColumn("fails", F.when(sure, LEVELS).otherwise(F.col("level")))
+    ends = chain.groupBy(F.col(stratum).alias("s")).agg(F.min("fails").alias("end"))
     gain = F.col("hits") / F.col("m") - F.col("k") / F.col("n")
-    sure = binomial_tail(F.col("k"), F.col("n").cast("double"), risk / len(RULES)) <= delta / tests
-    picked = each.where("n > 0 AND m > 0").where(sure).withColumn("gain", gain).where("gain > 0")
-    best = picked.groupBy(stratum, "rule").agg(F.max_by("cutoff", F.struct(F.col("gain"), -F.col("rank"))).alias("cutoff"))
-    return best.groupBy(F.col(stratum).alias("stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    picked = each.join(settle(ends), F.col(stratum).eqNullSafe(F.col("s"))).where("level < end AND n > 0 AND m > 0").withColumn("gain", gain).where("gain > 0")
+    best = picked.groupBy(F.col(stratum).alias("stratum")).agg(F.max_by("level", F.struct(F.col("gain"), -F.col("level"))).alias("level"))
+    cutoffs = F.array(*[F.create_map(*[F.lit(x) for rule, _, cuts in RULES for x in (rule, cuts[level])]) for level in range(LEVELS)])
+    return best.select("stratum", "level", F.get(cutoffs, "level").alias("cutoffs"))
 
 
 def judged(found: DataFrame, limits: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Adds kept: neither a base rule nor a certified cutoff of its stratum rejects the document."""
-    rows = found.join(limits, found[stratum].eqNullSafe(limits["stratum"]), "left")
-    hit = F.lit(False)
-    for rule, side, _ in RULES:
-        hit = hit | rejects(rule, side, F.col("cutoffs").getItem(rule))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~hit).drop("stratum", "cutoffs")
+    """Adds kept: neither a base rule nor the cutoffs of its stratum's level reject the document."""
+    limits = settle(limits.select("stratum", "level"))
+    if limits.count() <= STRATA:
+        rows = found.join(F.broadcast(limits), found[stratum].eqNullSafe(limits["stratum"]), "left")
+    else:
+        # A stratum may hold a large part of the documents: they are dealt over SALTS copies of its row.
+        many = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = found.withColumn("salt_", F.pmod(F.xxhash64(*BASE, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        rows = dealt.join(many, dealt[stratum].eqNullSafe(many["stratum"]) & (dealt["salt_"] == many["salt"]), "left").drop("salt", "salt_")
+    hit = F.coalesce(severity() <= F.col("level"), F.lit(False))
+    return rows.withColumn("kept", ~F.col("base_failed") & ~hit).drop("stratum", "level")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """One row per document with doc_id, the stratum, the base metrics, base_failed and kept.
 
-    A null or blank text has no words, so base rules reject it. A null stratum is a stratum. A stratum without enough
-    labelled documents for any cutoff to be certified rejects nothing beyond the base rules. Documents with a null
-    doc_id are judged but are no holdout; a doc_id with both labels counts as one good and one bad document. Without
-    labels, or without documents, only base rules act.
+    A null or blank text has no words, so base rules reject it; a text of any length is measured whole. A null stratum is a
+    stratum. A stratum without enough labelled documents for a level to be certified rejects nothing beyond the base
+    rules. Documents with a null doc_id are judged but are no holdout; a doc_id with both labels counts as one good and
+    one bad document, and rows that share a doc_id each count. Without labels, or without documents, only base rules act.
+    Other columns are not looked at.
     """
     found = settle(metrics(docs, "doc_id", stratum))
-    return judged(found, settle(thresholds(found, labels, stratum)), stratum)
+    return judged(found, thresholds(found, labels, stratum), stratum)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -647,7 +647,7 @@ def test_binomial_tail(spark):
         assert x == pytest.approx(binomial_cdf(k, n, 0.02) if k < n * 0.02 else 1.0, rel=1e-9)
 
 
-def test_quality_thresholds(spark):
+def test_quality_thresholds(spark, monkeypatch):
     r = random.Random(13)
     texts, labels = [], []
     for i in range(2400):
@@ -661,11 +661,49 @@ def test_quality_thresholds(spark):
     wrong = sum(not out[i] for i, q, _ in labels if q)
     assert wrong <= 0.05 * 1800 and sum(not out[i] for i, q, _ in labels if not q and i % 600 != 1) > 590
     assert not out[2400] and not out[2401]
+    levels = {x.stratum: x for x in quality.thresholds(quality.metrics(frame, "doc_id", "lang"), known).collect()}
+    assert set(levels) == {"en"} and levels["en"].level == 0 and levels["en"].cutoffs["symbols_per_word"] == 1.0
+    salted = quality.judged(quality.metrics(frame, "doc_id", "lang"), quality.thresholds(quality.metrics(frame, "doc_id", "lang"), known))
+    monkeypatch.setattr(quality, "STRATA", 0)
+    other = quality.judged(quality.metrics(frame, "doc_id", "lang"), quality.thresholds(quality.metrics(frame, "doc_id", "lang"), known))
+    assert sorted(map(str, salted.collect())) == sorted(map(str, other.collect()))
     alone = {x.doc_id: x.kept for x in quality.judge(frame, known.where("false")).collect()}
     assert all(alone[i] for i in range(2400))
     assert quality.judge(frame.where("false"), known).count() == 0
 
 
+def test_quality_levels_by_brute_force(spark):
+    """Levels of each stratum, with few and with false-rejected good documents, against plain Python."""
+    r = random.Random(15)
+    texts, labels, lang = [], [], []
+    for i in range(900):
+        bad, l = r.random() < 0.3, r.choice(["a", "a", "a", "b", "b", None])
+        rate = r.choice([0, 0, 0, 0.04, 0.15, 0.4, 0.8]) if bad else (r.choice([0.04, 0.15]) if r.random() < {"a": 0.03, "b": 0.08, None: 0}[l] else 0)
+        texts.append(" ".join(f"w{r.randrange(5000)}" + ("$" if r.random() < rate else "") for _ in range(r.randint(50, 160))))
+        labels.append((i, 0 if bad else 1))
+        lang.append(l)
+    frame = docs(spark, texts).drop("lang").join(spark.createDataFrame(list(enumerate(lang)), "doc_id long, lang string"), "doc_id")
+    got = {x.stratum: x.level for x in quality.thresholds(quality.metrics(frame, "doc_id", "lang"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    held = defaultdict(list)
+    for t, (_, q), l in zip(texts, labels, lang, strict=True):
+        n, chars, symbols, lines, repeats, failed = brute_metrics(t)
+        value = dict(zip([x[0] for x in quality.RULES], [symbols / n, chars / n, chars / n, lines / n, repeats / n, n], strict=True))
+        hit = [any(value[x] > c[k] if s == ">" else value[x] < c[k] for x, s, c in quality.RULES) for k in range(quality.LEVELS)]
+        if not failed:
+            held[l].append((q, hit))
+    want = {}
+    for l, rows in held.items():
+        n, best = sum(q for q, _ in rows), (0.0, None)
+        for k in range(quality.LEVELS):
+            false = sum(h[k] for q, h in rows if q)
+            if binomial_cdf(false, n, quality.RISK) > quality.DELTA / len(held):
+                break
+            best = max(best, (sum(h[k] for q, h in rows if not q) / (len(rows) - n) - false / n, -k), key=lambda x: (x[0], x[1] if x[1] is not None else -99))
+        if best[1] is not None and best[0] > 0:
+            want[l] = -best[1]
+    assert got == want and len(want) >= 1
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
