@@ -64,9 +64,11 @@ def mix(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     shares sum to 1 at all times. Reruns agree, also where doc_id repeats (equal rows stay equal as a set).
     Nulls: a null source is a source of its own, the last; a null doc_id hashes as any value; a null size counts 0.
     Columns of `units` named in `keep` stay, and order rows that agree in all else.
-    Documents without words get taken 0 and position 0. An empty table gives an empty result.
+    Documents without words get taken 0 and position 0. Texts of any length count whole; columns of other names are not
+    looked at. An empty table gives an empty result.
     """
-    units = units.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *keep)
+    # Read three times below; the words of a text are counted once.
+    units = settle(units.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *keep))
     table = targets(units, weights, most)
     # Shares at time t: q + d * (2t - 1), with d = tilt * q * (z - mean of z) and z in 0..1 rising with the weight.
     low, high = float(min(weights)), float(max(weights))
@@ -94,8 +96,11 @@ def mix(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, range-sorted by their training position."""
     units = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(units).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 6).alias("position"))
+    mixed = mix(units).select("doc_id", "size", "source_size", "target", "taken", "position")
+    by = [F.col("position"), F.col("doc_id"), F.col("size")]
+    return settle(mixed).repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .quality import DELTA, RISK, RULES
-from .urls import BLOCK_SHARE, DAMPING, ROUNDS, RULES as URL_RULES
+from .urls import BLOCK_SHARE, DAMPING, RULES as URL_RULES
 
 _SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -36,7 +36,7 @@ e AS (SELECT src, {_HOST.format("substr(u, instr(u, '//') + 2)")} AS dst, count(
 g AS (SELECT 't' AS kind, src AS a, dst AS b, n FROM e WHERE src <> dst AND src <> '' AND dst <> '' UNION ALL SELECT 'd', dst, src, n FROM e WHERE src <> dst AND src <> '' AND dst <> ''),
 s AS (SELECT 't' AS kind, host, count(*) AS w FROM r WHERE by_rule = 'allow' AND host <> '' GROUP BY host UNION ALL SELECT 'd', host, count(*) FROM r WHERE by_rule = 'block' AND host <> '' GROUP BY host),
 walk(kind, host, k, m) AS (SELECT kind, host, 0, {1 - DAMPING!r} * w / sum(w) OVER (PARTITION BY kind) FROM s
- UNION ALL SELECT walk.kind, g.b, k + 1, sum(m * {DAMPING} * g.n / (SELECT sum(n) FROM g h WHERE h.kind = g.kind AND h.a = g.a)) FROM walk JOIN g ON walk.kind = g.kind AND walk.host = g.a WHERE k < {ROUNDS} GROUP BY walk.kind, g.b, k),
+ UNION ALL SELECT walk.kind, g.b, k + 1, sum(m * {DAMPING} * g.n / (SELECT sum(n) FROM g h WHERE h.kind = g.kind AND h.a = g.a)) FROM walk JOIN g ON walk.kind = g.kind AND walk.host = g.a WHERE m > 1e-12 GROUP BY walk.kind, g.b, k),
 h AS (SELECT host, coalesce(sum(m) FILTER (WHERE kind = 't'), 0) AS trust, coalesce(sum(m) FILTER (WHERE kind = 'd'), 0) AS distrust FROM walk GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN distrust > 0 AND distrust >= {BLOCK_SHARE} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN h USING (host)"""
 
@@ -49,7 +49,7 @@ t AS (SELECT source, source_size, least(3.0 * source_size, weight * level)::DOUB
 z AS (SELECT sum(target) AS whole, sum(target * (weight - 1) / 2) / sum(target) AS mean FROM t),
 d AS (SELECT u.*, source_size, target, target / whole AS q, 0.5 * (target / whole) * ((weight - 1) / 2 - mean) AS d, round(target)::BIGINT AS goal,
  sum(size) OVER (PARTITION BY u.source ORDER BY md5('7/' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS stream FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source, z)
-SELECT doc_id, size, source_size, round(target, 6) AS target, (CASE WHEN source_size > 0 THEN (goal // source_size) * size + least(greatest(goal - (goal // source_size) * source_size - stream, 0), size) ELSE 0 END)::BIGINT AS taken,
+SELECT doc_id, size, source_size, target, (CASE WHEN source_size > 0 THEN (goal // source_size) * size + least(greatest(goal - (goal // source_size) * source_size - stream, 0), size) ELSE 0 END)::BIGINT AS taken,
  round(CASE WHEN target > 0 AND (q - d) + sqrt(greatest((q - d) * (q - d) + 4 * d * (stream / target * q), 0)) > 0 THEN least(1.0, 2 * (stream / target * q) / ((q - d) + sqrt(greatest((q - d) * (q - d) + 4 * d * (stream / target * q), 0)))) ELSE 0.0 END, 6) AS position FROM d"""
 
 OP8 = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, settle
+from .base import documents, release, settle, settled
 
 #: Verdict and rule; a rule is a host, which stands for its subdomains too, and the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Part of a host's score that its links pass on, rounds at most, and the change of all scores that ends them.
-DAMPING, ROUNDS, CHANGE = 0.85, 30, 1e-6
+#: Part of a host's score that its links pass on, and the mass still on its way, as a part of the host's score, that ends the rounds.
+DAMPING, CHANGE = 0.85, 1e-6
 #: A host is blocked if its distrust is this part of its trust and distrust together, or more.
 BLOCK_SHARE = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,12 +47,14 @@ def links(pages: DataFrame) -> DataFrame:
     return out.select("src", host_and_path(to)[0].alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, change: float = CHANGE) -> DataFrame:
+def scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, change: float = CHANGE) -> DataFrame:
     """(host, trust, distrust) for edges (src, dst, n) and seeds (host, trust, distrust: weights).
 
     Trust is the personalised PageRank from trusted seeds along the links; distrust that from blocked seeds against
     them, since who links to a blocked host shares the blame. Both run in one table. Mass of hosts without links to
-    follow ends there. Every round is checkpointed.
+    follow ends there. A round passes on what arrived in the round before and adds it to the scores; it is only passed on
+    by hosts where it is more than `change` of their score, so rounds end when no host is reached for the first time and
+    no score moves by more: whatever the number of hosts and the length of paths. Every round is checkpointed.
     """
     total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     kinds = F.array(F.struct(F.lit("t").alias("kind"), F.col("trust").alias("w")), F.struct(F.lit("d").alias("kind"), F.col("distrust").alias("w")))
@@ -65,15 +67,16 @@ def scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     steps = ahead.unionByName(back)
     sums = settle(steps.groupBy("kind", "host").agg(F.sum("n").alias("all")))
     steps = settle(steps.join(sums, ["kind", "host"]).select("kind", "host", "to", (damping * F.col("n") / F.col("all")).alias("share")))
-    now = start
-    for _ in range(rounds if not steps.isEmpty() else 0):
-        moved = now.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share")).alias("score"))
-        new = settle(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score")))
-        was = now.select("kind", "host", F.col("score").alias("old"))
-        apart = new.join(was, ["kind", "host"], "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
-        now = new
-        if apart < change:
-            break
+    # score: all that has arrived at a host; fresh: the part of it that it has not passed on yet.
+    now, left = start.withColumn("fresh", F.col("score")), not steps.isEmpty()
+    while left:
+        goes = F.col("fresh") > change * F.col("score")
+        moved = now.where(goes).join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("fresh") * F.col("share")).alias("score"))
+        stays = now.select("kind", "host", "score", F.when(goes, 0.0).otherwise(F.col("fresh")).alias("fresh"))
+        both = moved.select("kind", "host", "score", F.col("score").alias("fresh")).unionByName(stays)
+        now, n = settled(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("fresh").alias("fresh")))
+        left = not now.where(F.col("fresh") > change * F.col("score")).isEmpty()
+        release(seeds.sparkSession)
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
     return now.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
@@ -83,8 +86,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, block_sh
 
     Where a rule fits, its verdict holds. Other pages get their host's: seeds are hosts by the number of their pages
     that rules allow or block, and a host whose distrust is at least `block_share` of both scores is blocked. Hosts that no
-    score reaches, empty hosts (null urls, or none) and all hosts without seeds are allowed. A null html has no links.
-    Repeated rows each count and are each judged. An empty table gives no rows.
+    score reaches, empty hosts (null urls, or none) and all hosts without seeds are allowed. A null html has no links; one
+    of any length is searched whole. Repeated rows each count and are each judged; other columns are not looked at. An
+    empty table gives no rows.
     """
     pages = pages.select("page_id", "url", "html")
     rows = settle(ruled(pages.select("page_id", "url"), rules).drop("url"))

@@ -377,7 +377,7 @@ def test_urls(spark):
 def test_pagerank(spark):
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "c", 3)]
     seeds = [("a", 2, 0), ("b", 1, 0), ("c", 0, 5)]
-    got = {r.host: (r.trust, r.distrust) for r in urls.scores(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust long, distrust long"), rounds=200, change=1e-12).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in urls.scores(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust long, distrust long"), change=1e-12).collect()}
 
     def rank(links, seed):
         s, out = {h: 0.0 for h in "abcd"}, Counter()
@@ -395,6 +395,14 @@ def test_pagerank(spark):
         assert got.get(h, (0, 0)) == pytest.approx((trust[h], distrust[h]), abs=1e-9)
 
 
+def test_urls_far_along_a_chain(spark):
+    """With the production parameters blame reaches every host of a long chain, also beside many seeds."""
+    rows = [(i, f"http://h{i}.net/x", f'<a href="http://h{i + 1}.net/">x</a>' if i < 40 else '<a href="http://w.com/de/1">x</a>') for i in range(41)]
+    rows += [(100, "http://w.com/de/1", None)] + [(1000 + i, f"http://v{i}.com/de/1", None) for i in range(500)]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "block" for i in range(41))
+
+
 # --- 7 mixing ------------------------------------------------------------------------------------------------------
 
 
