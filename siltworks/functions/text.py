@@ -107,9 +107,9 @@ def changed(old: Column, new: Column) -> Column:
 
 def snake_case(c: Column) -> Column:
     """As headers.snake_case, for values."""
-    s = F.regexp_replace(F.regexp_replace(strip(c), r"(?U)[\s\-]+", "_"), r"(?U)[^\w]", "_")
-    s = F.regexp_replace(F.regexp_replace(s, "(?<=[a-z0-9])(?=[A-Z])", "_"), "_+", "_")
-    return F.btrim(F.lower(s), F.lit("_"))
+    runs = F.regexp_extract_all(c, F.lit(r"(?U)[\w&&[^_]]+"), F.lit(0))
+    words = F.flatten(F.transform(runs, lambda run: F.split(run, "(?<=[a-z0-9])(?=[A-Z])")))
+    return F.lower(F.array_join(words, "_"))
 
 
 def fuzzy_key(*columns: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW_ID, col, comparable, data_columns
@@ -27,21 +27,26 @@ def constant_columns(df: DataFrame, row_id: str | None = ROW_ID) -> list[str]:
     return [c for c, same in zip(names, tests, strict=True) if same]
 
 
+def fingerprint_aggregates(df: DataFrame, row_id: str = ROW_ID) -> list[Column]:
+    """Per column an order-free hash of (row, value); equal columns have equal ones."""
+    values = [comparable(f.name, f.dataType) for f in df.schema if f.name != row_id]
+    return [F.bit_xor(F.xxhash64(col(row_id), F.lit(1), v, v.isNull())) for v in values]
+
+
 def fingerprints(df: DataFrame, row_id: str = ROW_ID) -> dict[str, tuple]:
-    """Per column its type and an order-free hash of (row, value); equal columns have equal fingerprints."""
+    """Per column its type and its fingerprint."""
     kinds = {f.name: f.dataType for f in df.schema}
     names = data_columns(df, row_id)
     if not names:
         return {}
-    aggs = [F.bit_xor(F.xxhash64(col(row_id), F.lit(1), comparable(c, kinds[c]), comparable(c, kinds[c]).isNull())) for c in names]
-    found = df.agg(*aggs).first()
+    found = df.agg(*fingerprint_aggregates(df, row_id)).first()
     return {c: (kinds[c].simpleString(), x) for c, x in zip(names, found, strict=True)}
 
 
-def duplicate_groups(df: DataFrame, row_id: str = ROW_ID) -> list[list[str]]:
+def duplicate_groups(df: DataFrame, row_id: str = ROW_ID, marks: dict[str, tuple] | None = None) -> list[list[str]]:
     """Groups of two and more columns with equal values and types, in column order; candidates by fingerprint are verified."""
     by: dict[tuple, list[str]] = {}
-    for name, mark in fingerprints(df, row_id).items():
+    for name, mark in (fingerprints(df, row_id) if marks is None else marks).items():
         by.setdefault(mark, []).append(name)
     kinds = {f.name: f.dataType for f in df.schema}
     pairs = [(g[0], c) for g in by.values() for c in g[1:]]
@@ -55,9 +60,9 @@ def duplicate_groups(df: DataFrame, row_id: str = ROW_ID) -> list[list[str]]:
     return list(groups.values())
 
 
-def duplicate_columns(df: DataFrame, row_id: str = ROW_ID) -> list[str]:
-    """All but the first of each group."""
-    later = {c for g in duplicate_groups(df, row_id) for c in g[1:]}
+def duplicate_columns(df: DataFrame, row_id: str = ROW_ID, marks: dict[str, tuple] | None = None) -> list[str]:
+    """All but the first of each group; fingerprints that are known save a scan."""
+    later = {c for g in duplicate_groups(df, row_id, marks) for c in g[1:]}
     return [c for c in df.columns if c in later]
 
 

@@ -28,20 +28,21 @@ def modes(df: DataFrame, names: list[str]) -> dict[str, str | None]:
     return {r["name"]: r["value"] for r in top.collect()}
 
 
-def fill(df: DataFrame, strategy: str = AUTO, row_id: str | None = ROW_ID) -> tuple[DataFrame, int]:
+def fill(df: DataFrame, strategy: str = AUTO, row_id: str | None = ROW_ID, missing: dict[str, int] | None = None, rows: int | None = None) -> tuple[DataFrame, int]:
     """The filled table and what was affected: cells, or for DROP rows.
 
     AUTO: median of numbers (integers become doubles), most frequent value of others; a column without values gets 0 or
     'Unknown'. ZERO: 0, as text in text, and nothing in dates. UNKNOWN: 'Unknown', which turns columns with missing
     cells to text. DROP: rows with a missing cell go. Unknown strategies are AUTO. Nested columns stay as they are.
+    Who knows `missing` (cells of each column) and the number of rows saves the scans that find them.
     """
-    missing = missing_per_column(df, row_id)
+    missing = missing_per_column(df, row_id) if missing is None else missing
     kinds = {f.name: f.dataType for f in df.schema}
     if strategy == DROP:
         if not any(missing.values()):
             return df, 0
         kept = drop_incomplete_rows(df, row_id)
-        return kept, df.count() - kept.count()
+        return kept, (df.count() if rows is None else rows) - kept.count()
     todo = [c for c, n in missing.items() if n and not is_nested(kinds[c])]
     new = {}
     if strategy == ZERO:
@@ -52,7 +53,7 @@ def fill(df: DataFrame, strategy: str = AUTO, row_id: str | None = ROW_ID) -> tu
         new = {c: F.coalesce(col(c).cast("string"), F.lit("Unknown")) for c in todo}
     else:
         numbers = [c for c in todo if c in set(numeric_columns(df, row_id))]
-        medians = quantiles(df, numbers, [0.5])
+        medians = quantiles(df, numbers, [0.5], most=rows)
         for c in numbers:
             kind = kinds[c] if isinstance(kinds[c], (T.FractionalType,)) else T.DoubleType()
             new[c] = F.coalesce(col(c).cast(kind), F.lit(0.0 if medians[c][0] is None else medians[c][0]).cast(kind))

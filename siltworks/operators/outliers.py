@@ -34,13 +34,30 @@ def iqr_bounds(df: DataFrame, names: list[str]) -> dict[str, dict]:
     return out
 
 
+def iqr_rows(df: DataFrame, name: str) -> DataFrame:
+    """The rows whose value lies strictly outside the bounds."""
+    b = iqr_bounds(df, [name])[name]
+    return df.where(_outside(name, b))
+
+
+def _outside(name: str, b: dict):
+    v = finite(name)
+    return F.lit(False) if not b["iqr"] else (v < b["lower"]) | (v > b["upper"])
+
+
+def zscore_rows(df: DataFrame, name: str, threshold: float = 3.0) -> DataFrame:
+    """The rows whose value is more than `threshold` standard deviations from the mean; none below four values."""
+    v = finite(name)
+    n, mean, std = df.agg(F.count(v), F.avg(v), F.stddev_samp(v)).first()
+    return df.where(F.abs((v - mean) / std) > threshold if n >= LEAST and std else F.lit(False))
+
+
 def iqr(df: DataFrame, name: str, row_id: str | None = ROW_ID) -> dict:
     """count, lower, upper (4 decimals) and the first 20 values strictly outside. An IQR of 0 has no outliers."""
     b = iqr_bounds(df, [name])[name]
     if b["lower"] is None or not b["iqr"]:
         return {"count": 0, "lower": None if b["lower"] is None else round(b["lower"], DIGITS), "upper": None if b["upper"] is None else round(b["upper"], DIGITS), "values": []}
-    v = finite(name)
-    is_out = (v < b["lower"]) | (v > b["upper"])
+    is_out = _outside(name, b)
     return {"count": df.where(is_out).count(), "lower": round(b["lower"], DIGITS), "upper": round(b["upper"], DIGITS), "values": _preview(df, name, is_out, row_id)}
 
 
@@ -69,7 +86,7 @@ def iqr_summary(df: DataFrame, names: list[str] | None = None, row_id: str | Non
     cells = []
     for c in names:
         b = bounds[c]
-        hit = F.lit(False) if not b["iqr"] else (finite(c) < b["lower"]) | (finite(c) > b["upper"])
+        hit = _outside(c, b)
         r = [None if b[k] is None else round(b[k], DIGITS) for k in ("lower", "upper")]
         cells.append(F.struct(F.lit(c).alias("column"), F.lit(b["n"]).cast("long").alias("n"), F.lit(r[0]).cast("double").alias("lower"), F.lit(r[1]).cast("double").alias("upper"), F.count_if(hit).alias("outliers")))
     return df.agg(F.array(*cells).alias("x")).select(F.inline("x"))

@@ -39,6 +39,13 @@ def is_id(values: int, distinct: int, low, high, has_null: bool) -> bool:
     return values >= 2 and not has_null and distinct == values and high <= values * 10 and low <= 100
 
 
+def dense_keys(df: DataFrame, names: list[str]) -> dict[str, bool]:
+    """Which whole-number columns are dense unique keys."""
+    facts = df.agg(F.count("*"), *[F.struct(F.count(col(c)), F.min(col(c)), F.max(col(c))) for c in names]).first()
+    distinct = {r["column"]: r["distinct"] for r in distinct_counts(df, None, names).collect()}
+    return {c: is_id(n, distinct[c], low, high, n < facts[0]) for c, (n, low, high) in zip(names, facts[1:], strict=True)}
+
+
 def semantic_types(df: DataFrame, row_id: str | None = ROW_ID, distinct: dict[str, int] | None = None) -> dict[str, str]:
     """The semantic type of every column, in column order."""
     kinds = {f.name: f.dataType for f in df.schema}

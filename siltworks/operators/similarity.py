@@ -30,6 +30,21 @@ def bag(key: Column, least: int) -> Column:
     return F.aggregate(often, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % 62).cast("int"))))
 
 
+def prefix(key: Column, t: float) -> Column:
+    """The tokens of which two keys that are similar enough have one in common.
+
+    A token is a character and the number of its occurrence. A key of n characters shares at least o of them with any key
+    that its length allows, so of the tokens in one order the first n - o + 1 of both must meet. Late occurrences, which
+    fewer keys have, come first.
+    """
+    chars, n = F.split(key, ""), F.length(key)
+    each = F.transform(F.array_distinct(chars), lambda c: F.transform(F.sequence(F.lit(1), F.size(F.filter(chars, lambda x: x == c))), lambda k: F.struct((-k).alias("k"), F.xxhash64(c).alias("h"), c.alias("c"))))
+    least = F.ceil(n * F.lit(t / (2 - t)) - 1e-9)
+    shared = F.greatest(F.ceil(F.lit(t / 2) * (n + least) - 1e-9), F.lit(1))
+    tokens = F.transform(F.sort_array(F.flatten(each)), lambda s: F.concat(s["c"], s["k"].cast("string")))
+    return F.slice(tokens, 1, (n - shared + 1).cast("int"))
+
+
 def lcs(a_masks: Column, a_length: Column, b: Column) -> Column:
     """Length of the longest common subsequence, bit-parallel over the characters of b; a has at most 62."""
     ones = (F.pow(F.lit(2.0), a_length).cast("long") - 1).cast("long")
@@ -62,9 +77,10 @@ def fuzzy_pairs(
 ) -> DataFrame | None:
     """(index_a, index_b, key_a, key_b, similarity): rows a < b with unequal keys and similarity of at least the threshold.
 
-    Distinct keys are compared, not rows, and only keys whose lengths allow the threshold: each key is sent to the
-    lengths it can match, so the join is on length (a hash join), and lossless. A `block` column makes keys meet only within its
-    value, which is quicker and may lose pairs. None beyond the row limit. The pair limit takes the most similar pairs.
+    Distinct keys are compared, not rows, and only keys that share a token of their prefixes (a hash join, lossless) and
+    whose lengths and characters allow the threshold; a pair is taken at its first shared token. A threshold of 0 asks for
+    all pairs. A `block` column makes keys meet only within its value, which is quicker and may lose pairs. None beyond
+    the row limit. The pair limit takes the most similar pairs.
     """
     if not isinstance(threshold, (int, float)) or isinstance(threshold, bool) or not 0 <= threshold <= 1:
         raise ValueError("threshold: a number from 0 to 1")
@@ -82,9 +98,9 @@ def fuzzy_pairs(
     left_over = lambda x, y: f"{x}.n - " + " - ".join(f"bit_count({x}.bag{k} & ~{y}.bag{k})" for k in (1, 2, 3))
     can = f"2.0 * least({left_over('a', 'b')}, {left_over('b', 'a')}) >= {t!r} * (a.n + b.n) - 1e-9"
     if t > 0:
-        reach = F.sequence(F.ceil(F.col("n") * F.lit(t / (2 - t)) - 1e-9).cast("int"), F.col("n").cast("int"))
-        sent = keys.withColumn("m", F.explode(reach))
-        met = sent.alias("a").join(keys.alias("b"), F.expr(f"a.block = b.block AND a.m = b.n AND (a.n > b.n OR a.key < b.key) AND {can}"))
+        sent = keys.withColumn("tokens", prefix(F.col("sorted"), t)).withColumn("token", F.explode("tokens"))
+        longer = f"(a.n > b.n OR a.n = b.n AND a.key < b.key) AND b.n >= {t / (2 - t)!r}D * a.n - 1e-9"
+        met = sent.alias("a").join(sent.alias("b"), F.expr(f"a.block = b.block AND a.token = b.token AND {longer} AND {can} AND array_intersect(a.tokens, b.tokens)[0] = a.token"))
     else:
         met = keys.alias("a").join(keys.alias("b"), F.expr("a.block = b.block AND a.key < b.key"))
     # The longer side is a; where it fits, its masks serve, else the shorter's.

@@ -11,7 +11,7 @@ from .config import DATE_TARGETS, DROP, UNKNOWN, ZERO, CleanOptions
 from .functions import numbers, text
 from .operators import columns, impute, outliers, profile, quality, rows, semantic, similarity, stats
 from .operators.common import ROW_ID
-from .plans import pipeline
+from .plans import pipeline, report
 from .sources import pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +100,7 @@ for _i, _target in enumerate(DATE_TARGETS):
         return dirty(s, d).select("c_custkey", text.normalize_date(F.col("dt"), target).alias("dt"))
 
 
-@query("mojibake_repair")
+@query("mojibake_repair", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN concat(c_name, ' café') ELSE c_name END AS fixed FROM customer")
 def _(s, d):
     broken = F.concat(F.col("c_name"), F.lit(" cafÃ©"))
     return table(s, d, "customer").select("c_custkey", text.fix_encoding(F.when(F.col("c_custkey") % 2 == 0, broken).otherwise(F.col("c_name"))).alias("fixed"))
@@ -283,7 +283,7 @@ def _(s, d):
 
 @query("preview", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10")
 def _(s, d):
-    return table(s, d, "customer").select("c_custkey", "c_name").orderBy("c_custkey").limit(10)
+    return report.preview(table(s, d, "customer").select(F.col("c_custkey").alias(ROW_ID), "c_custkey", "c_name"))
 
 
 # --- outliers -----------------------------------------------------------------------------------------------------
@@ -293,9 +293,7 @@ SQL_IQR = "WITH q AS (SELECT quantile_cont({1}, 0.25) AS q1, quantile_cont({1},
 
 @query("iqr_outliers", SQL_IQR.format("events", "value") + "SELECT event_id, value FROM events, b WHERE value < lo OR value > hi")
 def _(s, d):
-    df = table(s, d, "events")
-    b = outliers.iqr_bounds(df, ["value"])["value"]
-    return df.where((F.col("value") < b["lower"]) | (F.col("value") > b["upper"])).select("event_id", "value")
+    return outliers.iqr_rows(table(s, d, "events"), "value").select("event_id", "value")
 
 
 @query("iqr_bounds", " UNION ALL ".join(f"SELECT * FROM ({SQL_IQR.format(t, f'CAST({c} AS DOUBLE)')} SELECT '{c}' AS \"column\", (SELECT count({c}) FROM {t}) AS n, round(lo, 4) AS lower, round(hi, 4) AS upper, (SELECT count(*) FROM {t}, b WHERE {c} < lo OR {c} > hi) AS outliers FROM b)" for t, c in (("documents", "n_chars"), ("customer", "c_acctbal"), ("part", "p_retailprice"))))
@@ -306,9 +304,7 @@ def _(s, d):
 
 @query("zscore_outliers", "WITH m AS (SELECT avg(value) AS mu, stddev_samp(value) AS sd FROM events) SELECT event_id, value FROM events, m WHERE abs((value - mu) / sd) > 3")
 def _(s, d):
-    df = table(s, d, "events")
-    one = df.agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"))
-    return df.join(F.broadcast(one), F.abs((F.col("value") - F.col("mu")) / F.col("sd")) > 3).select("event_id", "value")
+    return outliers.zscore_rows(table(s, d, "events"), "value").select("event_id", "value")
 
 
 @query("zscore_summary", "WITH m AS (SELECT avg(value) AS mu, stddev_samp(value) AS sd FROM events) SELECT round(mu, 4) AS mean, round(sd, 4) AS std, (SELECT count(*) FROM events WHERE abs((value - mu) / sd) > 3) AS outliers FROM m")
@@ -319,12 +315,21 @@ def _(s, d):
 
 # --- fuzzy duplicates ---------------------------------------------------------------------------------------------
 
-@query("fuzzy_pairs")
+# The keys' tokens sorted, and the longest common subsequence by one bit for each character of a.
+SQL_FUZZY = """WITH k AS (SELECT i, key, array_to_string(list_sort(string_split(key, ' ')), ' ') AS s, length(key) AS n FROM (SELECT {0} AS i, trim(regexp_replace(lower({1}), '\\s+', ' ', 'g')) AS key FROM {2})),
+m AS (SELECT i, key, n, s, map_from_entries([(c, list_sum([CASE WHEN s[j] = c THEN (1::HUGEINT << (j - 1)::HUGEINT) ELSE 0 END FOR j IN range(1, n + 1)])::HUGEINT) FOR c IN list_distinct(string_split(s, ''))]) AS mask FROM k WHERE key <> ''),
+p AS (SELECT a.i AS ia, b.i AS ib, a.key AS ka, b.key AS kb, a.n AS na, b.n AS nb, a.mask AS mask, list_prepend((1::HUGEINT << a.n::HUGEINT) - 1, list_transform(string_split(b.s, ''), lambda c: coalesce(a.mask[c], 0)::HUGEINT)) AS steps
+ FROM m a JOIN m b ON a.i < b.i AND a.key <> b.key AND 2.0 * least(a.n, b.n) >= {3} * (a.n + b.n) - 1e-9),
+l AS (SELECT *, na - bit_count(list_reduce(steps, lambda v, u: (v + (v & u)) & ((1::HUGEINT << na::HUGEINT) - 1) | (v & ~u))) AS common FROM p)
+SELECT ia AS index_a, ib AS index_b, ka AS key_a, kb AS key_b, round(2.0 * common / (na + nb), 3) AS similarity FROM l WHERE 2.0 * common / (na + nb) >= {3} - 1e-12"""
+
+
+@query("fuzzy_pairs", SQL_FUZZY.format("p_partkey", "concat_ws(' ', p_name, p_brand)", "part", 0.93))
 def _(s, d):
     return similarity.fuzzy_pairs(table(s, d, "part").select(F.col("p_partkey").alias(ROW_ID), F.concat_ws(" ", "p_name", "p_brand").alias("name")), ["name"], 0.93)
 
 
-@query("fuzzy_customers")
+@query("fuzzy_suppliers", SQL_FUZZY.format("s_suppkey", "s_name", "supplier", 0.9))
 def _(s, d):
     return similarity.fuzzy_pairs(table(s, d, "supplier").select(F.col("s_suppkey").alias(ROW_ID), "s_name"), ["s_name"], 0.9)
 
@@ -350,12 +355,10 @@ SQL_ID = "SELECT '{1}' AS \"column\", count({1}) >= 2 AND count({1}) = count(*)
 
 @query("id_heuristic", " UNION ALL ".join(SQL_ID.format(t, c) for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("lineitem", "l_orderkey"), ("customer", "c_nationkey"))))
 def _(s, d):
-    out = None
-    for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("lineitem", "l_orderkey"), ("customer", "c_nationkey")):
-        one = table(s, d, t).agg(F.count("*").alias("rows"), F.count(c).alias("n"), F.count_distinct(c).alias("u"), F.min(c).alias("lo"), F.max(c).alias("hi"))
-        one = one.select(F.lit(c).alias("column"), F.expr("n >= 2 AND n = rows AND u = n AND hi <= 10 * n AND lo <= 100").alias("is_id"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = {}
+    for t, names in (("customer", ["c_custkey", "c_nationkey"]), ("supplier", ["s_suppkey"]), ("lineitem", ["l_orderkey"])):
+        found |= semantic.dense_keys(table(s, d, t), names)
+    return s.createDataFrame(list(found.items()), "`column` string, is_id boolean")
 
 
 @query("profile_summary", R + "SELECT CAST(count(*) AS BIGINT) AS rows, 3 AS columns, CAST(sum((nat IS NULL)::INT + (seg IS NULL)::INT + (bal IS NULL)::INT) AS BIGINT) AS missing_count, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT nat, seg, bal FROM d)) AS BIGINT) AS duplicate_rows FROM d")
@@ -436,7 +439,5 @@ def _(s, d):
 
 @query("before_after", R + ", e AS (SELECT DISTINCT nat, seg, bal FROM d WHERE NOT (nat IS NULL AND seg IS NULL AND bal IS NULL)) SELECT 'rows' AS metric, (SELECT count(*) FROM d) AS before, (SELECT count(*) FROM e) AS after UNION ALL SELECT 'columns', 3, 3 UNION ALL SELECT 'missing cells', CAST((SELECT sum((nat IS NULL)::INT + (seg IS NULL)::INT + (bal IS NULL)::INT) FROM d) AS BIGINT), 0")
 def _(s, d):
-    from .plans.report import comparison
-
     df = repeated(s, d)
-    return comparison(df, pipeline.clean(df)[1]).where("metric IN ('rows', 'columns', 'missing cells')")
+    return report.comparison(df, pipeline.clean(df)[1]).where("metric IN ('rows', 'columns', 'missing cells')")

@@ -9,7 +9,7 @@ from ..config import Limits, RowLimitExceeded
 from ..functions.text import NUMBER, full, strip
 from ..operators.common import ROW_ID, col, data_columns, with_row_id
 from . import excel
-from .files import binary, content, extension
+from .files import content, extension
 
 # The texts that mean a missing value.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -29,10 +29,12 @@ def dedupe_header(names: list[str]) -> list[str]:
 
 def encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 if the whole content is; else Windows-1252, unless a byte that it lacks occurs; else Latin-1."""
-    valid, lacking = binary(spark, path).agg(
-        F.bool_and(F.is_valid_utf8(F.col("content").cast("string"))), F.bool_or(F.hex("content").rlike("^(?:..)*?(?:81|8D|8F|90|9D)"))
+    # The text source hands on the bytes of each line as they are; no byte of a UTF-8 sequence ends a line.
+    line = F.col("value")
+    valid, lacking = spark.read.text(path).agg(
+        F.bool_and(F.is_valid_utf8(line)), F.bool_or(F.hex(line.cast("binary")).rlike("^(?:..)*?(?:81|8D|8F|90|9D)"))
     ).first()
-    return "UTF-8" if valid else "ISO-8859-1" if lacking else "windows-1252"
+    return "ISO-8859-1" if lacking and not valid else "windows-1252" if valid is False else "UTF-8"
 
 
 def typed(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
@@ -106,7 +108,7 @@ def load(spark: SparkSession, path: str, sheet: str | None = None, limits: Limit
     """A table from a .csv, .xlsx or .parquet path; None for other kinds and for files without rows."""
     kind = extension(path)
     if kind == "csv":
-        return load_csv(spark, path, limits) if content(spark, path) else None
+        return None if spark.read.text(path).isEmpty() else load_csv(spark, path, limits)
     if kind in ("xlsx", "xls"):
         return load_excel(spark, path, sheet, limits)
     if kind == "parquet":

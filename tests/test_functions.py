@@ -29,7 +29,7 @@ def test_trim(spark):
 
 
 def test_email(spark):
-    shape = re.compile(text.EMAIL)
+    shape = re.compile(r"[\w._%+-]+@[\w.-]+\.[a-zA-Z]{2,}")
     want = [v if v is None or not shape.fullmatch(v.strip().lower()) else v.strip().lower() for v in VALUES]
     assert run(spark, text.normalize_email) == want
     assert run(spark, text.invalid_email) == [v is not None and not shape.fullmatch(v.strip().lower()) for v in VALUES]

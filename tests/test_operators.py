@@ -93,6 +93,10 @@ def test_outliers(spark):
     z = outliers.zscore(wide, "v", threshold=-2)
     assert z["count"] == 1 and z["values"] == [99.0] and z["threshold"] == 3.0
     assert list(outliers.all_outliers(wide)) == ["v"]
+    odd = frame.unionByName(spark.createDataFrame([(90, None)], f"{ROW_ID} long, v double"))
+    assert [r.v for r in outliers.iqr_rows(odd, "v").collect()] == [100.0] and outliers.zscore_rows(odd, "v").count() == 0
+    assert [r.v for r in outliers.zscore_rows(wide, "v").collect()] == [99.0]
+    assert outliers.iqr_rows(same, "v").count() == outliers.zscore_rows(same, "v").count() == outliers.iqr_rows(few, "v").count() == 0
 
 
 def plain_lcs(a, b):
@@ -110,7 +114,7 @@ def test_fuzzy(spark):
     names = ["maria  lopez", "Lopez Maria", "marla lopez", "jon smith", "john smith", None, "", "jon smith", "a" * 70 + " b", "a" * 69 + " b c", "é ü", "e u"]
     names += ["".join(random.choice("abc ") for _ in range(random.randint(1, 14))) for _ in range(40)]
     frame = spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"{ROW_ID} long, name string")
-    for t in (0.85, 0.6):
+    for t in (0.95, 0.85, 0.6, 0.3, 0):
         got = {(r.index_a, r.index_b): r.similarity for r in similarity.fuzzy_pairs(frame, ["name"], t).collect()}
         keys = {i: " ".join(n.lower().split()) for i, n in enumerate(names) if n and n.strip()}
         want = {}
@@ -171,9 +175,27 @@ def test_pipeline(spark):
     assert "rows" in text_report(report, "x.csv", raw, out)
     assert comparison(out, report).count() == 6
     assert before_after(raw, out).count() == 6
+    equal = spark.createDataFrame([(i, i % 2, None if i == 3 else "v", i % 2, None if i == 3 else "v", "k") for i in range(6)], f"{ROW_ID} long, a long, b string, c long, d string, e string")
+    kept, said = pipeline.clean(equal, CleanOptions(remove_const_cols=True))
+    assert kept.columns == [ROW_ID, "a"] and said["dup_cols_removed"] == 2 and said["const_cols_removed"] == 2 and said["duplicates_removed"] == 3 and said["missing_count_before"] == 2
     assert preview(out, 2).count() == 2
 
 
+def test_semantic_types_feed_the_pipeline(spark):
+    types = {"mail": "email", "tel": "phone", "born": "date", "x": "text", "other": "email"}
+    got = pipeline.with_semantic_columns(CleanOptions(normalize_emails=True, phone_columns=("mine",)), types)
+    assert got.email_columns == ("mail", "other") and got.phone_columns == ("mine",) and got.date_columns == ("born",) and got.normalize_emails
+
+
+def test_row_ids_follow_file_order(spark, tmp_path):
+    from siltworks.operators.common import with_row_id
+
+    spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/x")
+    rows = with_row_id(spark.read.parquet(f"{tmp_path}/x")).collect()
+    assert sorted(r[ROW_ID] for r in rows) == list(range(1000)) and len({r[ROW_ID] - r.id for r in rows if r.id < 100}) <= 2
+    assert with_row_id(spark.range(0)).count() == 0 and with_row_id(spark.range(3)).columns == [ROW_ID, "id"]
+
+
 def test_pipeline_edges(spark):
     empty = spark.createDataFrame([], f"{ROW_ID} long, a long, b string")
     out, report = pipeline.clean(empty)
