@@ -39,9 +39,11 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none (tests), a local one is set."""
+    """The folder that all executors share, as the session names it; where it names none, a local master gets one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="siltworks-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -61,7 +63,8 @@ def settled(df: DataFrame, per: int = 50_000) -> tuple[DataFrame, int]:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more: the driver's collector finds them."""
+    """Lets Spark delete shuffle files that nothing refers to any more, and checkpoints where the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints set: the driver's collector finds them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -73,6 +76,20 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes a folder, in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of store() that no later result is read from."""
+    for df in tables:
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/siltworks-" in name:
+                remove(df.sparkSession, name)
+
+
 def plus(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of `df` with more columns."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, T.StructType.fromDDL(f"x {v}")[0].dataType) for k, v in columns.items())])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, release, settle, settled, store
+from .base import discard, documents, release, settle, settled, store
 from .graph import components
 from .shingles import mixed
 
@@ -180,6 +180,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
     beside = both.join(copies.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("beside"))
     within = balls.join(copies, "id").groupBy("ball").agg(F.sum("copies").alias("all"))
     within = settle(balls.join(settle(within), "ball").select("id", "all"))
+    discard(nodes)
     # Rows with one vec_id are one id, whatever their vectors.
     rows = valid.select("vec_id", *key).join(classes.select("id", *key), key).select("vec_id", "id")
     twice = rows.groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("vec_id", "a")

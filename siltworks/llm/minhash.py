@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, release, settle, settled, store
+from .base import discard, documents, release, settle, settled, store
 from .graph import components
 from .shingles import WordHashes, mixed, shingle_set
 
@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if n:
         more = confirmed(_by_differences(members, sets, percent))
         tree = components(more.unionByName(tree.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    discard(facts, sets)
     named = settle(classes.join(tree, classes["rep"] == tree["id"], "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root")))
     plain = found.select("doc_id", "n", "k1", "k2")
     own = F.coalesce("root", "doc_id")

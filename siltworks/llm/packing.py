@@ -8,7 +8,7 @@ import re
 import sys
 import types
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -210,7 +210,7 @@ def match(lengths: np.ndarray, free: np.ndarray, capacity: int) -> tuple[np.ndar
     return r[:, 2] + j // r[:, 1], r[:, 3] + (j % r[:, 1]) * lengths
 
 
-def _round(rows: DataFrame, which: int, tasks: int, capacity: int) -> DataFrame:
+def _round(rows: DataFrame, which: int, tasks: int, capacity: int, fit: Callable) -> DataFrame:
     """One round: rows (size, a document's length or -1; gap, a sequence's free space or null) ranked by `pos` are dealt to `tasks`."""
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.drop("pos").schema])
 
@@ -219,7 +219,7 @@ def _round(rows: DataFrame, which: int, tasks: int, capacity: int) -> DataFrame:
         docs = table.filter(pc.field("gap").is_null())
         gaps = table.filter(pc.field("gap").is_valid()).sort_by([("gap", "ascending"), ("sequence_id", "ascending")])
         lengths, free = docs["length"].to_numpy(), gaps["gap"].to_numpy()
-        at, offset = match(lengths, free, capacity)
+        at, offset = fit(lengths, free, capacity)
         n = max(len(free), int(at.max(initial=-1)) + 1)
         left = np.concatenate([free, np.full(n - len(free), capacity, dtype=np.int64)]) - np.bincount(at, weights=lengths, minlength=n).astype(np.int64)
         task = table["task"][0].as_py()
@@ -237,8 +237,8 @@ def _round(rows: DataFrame, which: int, tasks: int, capacity: int) -> DataFrame:
     return rows.withColumn("task", (F.col("pos") % tasks).cast("int")).groupBy("task").applyInArrow(place, schema)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a `length` from 1 to capacity: bulk-synchronous best fit.
+def pack(rows: DataFrame, capacity: int = CAPACITY, share: int = SHARE, fit: Callable = match) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a `length` from 1 to capacity: bulk-synchronous best fit by `fit`.
 
     Each round range-sorts the waiting documents by falling length and the open gaps by size, and deals both by rank, so
     that every task (of some `share` rows) has the same mixture of sizes and no gap is in two. A task sweeps its
@@ -257,7 +257,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataF
         both = waiting if which % 2 == 0 else waiting.unionByName(gaps)
         tasks = -(-(n + (n_gaps if which % 2 else 0)) // share)
         order = [F.col("gap").isNotNull(), F.col("length").desc(), "gap", "sequence_id", "doc"]
-        out = settle(_round(ranked(both, *order), which, tasks, capacity))
+        out = settle(_round(ranked(both, *order), which, tasks, capacity, fit))
         docs, mine = out.where("gap IS NULL"), out.where("gap > 0")
         placed.append(docs.where("sequence_id IS NOT NULL"))
         gaps = mine if gaps is None or which % 2 else gaps.unionByName(mine)

@@ -179,15 +179,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, found: DataFrame, mask: str = MASK) -> DataFrame:
     """`docs` with each secret of `found` (doc_id, text_key, place, is_secret) replaced by the mask, n_chars set anew."""
-    places = found.where("is_secret").groupBy(F.col("doc_id").alias("f_doc"), F.col("text_key").alias("f_text")).agg(F.collect_set("place").alias("f_places"))
-    keyed = docs.withColumn("f_key", F.xxhash64("text"))
-    rows = keyed.join(settle(places), keyed["doc_id"].eqNullSafe(F.col("f_doc")) & (keyed["f_key"] == F.col("f_text")), "left")
-    hits = F.regexp_extract_all("text", F.lit(CANDIDATE), 0)
-    kept = F.transform(hits, lambda x, i: F.when(F.array_contains("f_places", i), F.lit(mask)).otherwise(x))
-    new = F.array_join(F.zip_with(F.split("text", CANDIDATE, -1), kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    text = F.when(F.col("f_places").isNotNull(), new).otherwise(F.col("text"))
-    size = {"n_chars": F.when(F.col("f_places").isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return rows.withColumns({**size, "text": text}).select(*docs.columns)
+    places = found.where("is_secret").groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.collect_set("place").alias("places"))
+    # The document stays one struct, so that its columns' names cannot meet the others.
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("text_key"))
+    rows = keyed.join(settle(places), keyed["doc.doc_id"].eqNullSafe(F.col("id")) & (keyed["text_key"] == F.col("key")), "left")
+    old, masked = F.col("doc.text"), F.col("places").isNotNull()
+    hits = F.regexp_extract_all(old, F.lit(CANDIDATE), 0)
+    kept = F.transform(hits, lambda x, i: F.when(F.array_contains("places", i), F.lit(mask)).otherwise(x))
+    new = F.array_join(F.zip_with(F.split(old, CANDIDATE, -1), kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    text = F.when(masked, new).otherwise(old)
+    out = {"text": text, "n_chars": F.when(masked, F.length(new).cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[out[c].alias(c) if c in out else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

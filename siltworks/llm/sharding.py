@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import documents, ranked, settle
+from .packing import pack
 
 SHARDS = 24
 #: Blocks of groups per shard at most, which bounds what the driver packs, whatever the input: 2 * SHARDS * BLOCKS rows.
@@ -82,6 +84,30 @@ def best_fit(sizes: list[int], capacity: int, bins: int | None = None) -> list[i
     return out
 
 
+def match(sizes: np.ndarray, free: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of falling sizes by best fit into bins of this free space, then into new ones, for packing.pack()."""
+    gaps, opened = Gaps(), len(free)
+    for which, gap in enumerate(free.tolist()):
+        gaps.add(gap, which)
+    at, offset = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+    for i, s in enumerate(sizes.tolist()):
+        found = gaps.take(s)
+        if found is None:
+            found, opened = (capacity, opened), opened + 1
+        at[i], offset[i] = found[1], capacity - found[0]
+        gaps.add(found[0] - s, found[1])
+    return at, offset
+
+
+def _by_capacity(groups: DataFrame, capacity: int) -> DataFrame:
+    """(group, shard) in shards of a fixed capacity, whose number grows with the data: rounds of tasks, as in packing."""
+    big = ranked(groups.where(F.col("total") > capacity), F.col("total").desc(), F.col("group")).select("group", F.col("pos").alias("shard"))
+    small = groups.where(F.col("total") <= capacity).select("group", F.col("total").alias("length"))
+    placed = settle(pack(small, capacity, fit=match).select("group", "sequence_id"))
+    numbers = ranked(placed.select("sequence_id").distinct(), F.col("sequence_id")).select("sequence_id", (F.col("pos") + big.count()).alias("shard"))
+    return big.unionByName(placed.join(settle(numbers), "sequence_id").select("group", "shard"))
+
+
 def near_equal(sizes: list[int], bins: int) -> list[int]:
     """Best fit of falling sizes into `bins` bins under the least capacity, to one part in 4096, that does.
 
@@ -114,36 +140,39 @@ def shard(rows: DataFrame, shards: int | None = SHARDS, blocks: int = BLOCKS, ca
     """Adds `shard` and `slot` (gapless from 0 in its shard) to rows of doc_id, size (long) and group (any type).
 
     Rows of one group stay together. With `shards`, their sizes are made as near equal as groups allow; with `capacity`
-    instead, as few shards of that capacity as best-fit-decreasing finds (a larger group gets a shard of its own).
-    Groups, sorted by falling size, are cut where the running sum passes a multiple of a block (1/`blocks` of a shard),
-    so large groups stay alone and small ones, far below a shard, travel in blocks: the driver packs at most
-    2 * shards * blocks blocks, by best fit through a tree of free capacities.
-    Null groups are one group; null sizes count 0; equal rows are rows of their own. An empty table gives no rows.
+    instead, as few shards of that capacity as best-fit-decreasing finds (a larger group gets a shard of its own): their
+    number grows with the data, so groups are range-sorted and dealt to tasks that pack them, in rounds.
+    With `shards` groups, sorted by falling size, are cut where the running sum passes a multiple of a block (1/`blocks` of
+    a shard), so large groups stay alone and small ones, far below a shard, travel in blocks: the driver packs at most
+    2 * shards * blocks blocks. Both find the tightest shard through a tree of free capacities.
+    Null groups are one group; null sizes count 0; equal rows are rows of their own; other columns stay. An empty table
+    gives no rows.
     """
     rows = rows.withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
     groups = rows.groupBy("group").agg(F.sum("size").alias("total"))
+    if not shards:
+        return _placed(rows, settle(_by_capacity(settle(groups), capacity).select(F.col("group").alias("g"), F.col("shard").cast("int"))), few=False)
     order = ranked(groups, F.col("total").desc(), F.col("group"), weight="total")
     whole = groups.agg(F.sum("total")).first()[0] or 0
-    n = shards or max(1, -(-whole // capacity))
-    unit = max(1, whole // (n * blocks))
+    unit = max(1, whole // (shards * blocks))
     # A run of small groups starts in one unit; all but the first group of a unit are smaller than a unit.
     order = settle(order.select("group", "total", F.expr(f"before div {unit}").alias("block")))
     items = sorted(((r.total, r.block) for r in order.groupBy("block").agg(F.sum("total").alias("total")).collect()), key=lambda x: (-x[0], x[1]))
     sizes = [s for s, _ in items]
-    if shards:
-        bins = near_equal(sizes, shards)
-    else:
-        alone = sum(s > capacity for s in sizes)
-        bins = [*range(alone), *(alone + b for b in best_fit(sizes[alone:], capacity))]
+    bins = near_equal(sizes, shards)
     placed = rows.sparkSession.createDataFrame(
         [(b, x) for (_, b), x in zip(items, bins, strict=True)],
         T.StructType([T.StructField("block", T.LongType()), T.StructField("shard", T.IntegerType())]),
     )
-    where = settle(order.join(F.broadcast(placed), "block").select(F.col("group").alias("g"), "shard"))
+    return _placed(rows, settle(order.join(F.broadcast(placed), "block").select(F.col("group").alias("g"), "shard")))
+
+
+def _placed(rows: DataFrame, where: DataFrame, few: bool = True) -> DataFrame:
+    """The rows with the shard of their group (where: g, shard) and their slot in it."""
     out = rows.join(where, rows["group"].eqNullSafe(where["g"])).drop("g", "group")
     out = ranked(out, F.col("shard"), F.col("doc_id"), F.col("size"))
-    firsts = F.broadcast(out.groupBy("shard").agg(F.min("pos").alias("first")))
-    return out.join(firsts, "shard").withColumn("slot", F.col("pos") - F.col("first")).drop("pos", "first")
+    firsts = out.groupBy("shard").agg(F.min("pos").alias("first"))
+    return out.join(F.broadcast(firsts) if few else firsts, "shard").withColumn("slot", F.col("pos") - F.col("first")).drop("pos", "first")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, release, settle, store, words
+from .base import discard, documents, release, settle, store, words
 from .shingles import BASE2, WordHashes, runs
 
 LENGTH = 50
@@ -164,7 +164,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     release(spark)
     once = touched.drop("open").dropDuplicates(["doc_id", "key"]).join(starts, ["doc_id", "key"], "left")
     cut = _cut(once.where("size(matched) > 0 OR starts IS NOT NULL"), length)
-    rows = seeds.select("doc_id", "n_words", "sha", key).join(first, "sha", "left").join(settle(cut), ["doc_id", "key"], "left")
+    cut = settle(cut)
+    discard(touched, windows)
+    rows = seeds.select("doc_id", "n_words", "sha", key).join(first, "sha", "left").join(cut, ["doc_id", "key"], "left")
     copy = F.col("doc_id") > F.col("first")
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")))
     return rows.select(
