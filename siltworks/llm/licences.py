@@ -103,9 +103,11 @@ def scan(docs: DataFrame, path: Column | None = None, templates: tuple[tuple[str
     all of full_templates()) names the document's own licence (ties: the last by name). A document without one inherits
     that of the nearest directory, upwards from its own, with a licence file: a text with a licence of its own that has
     the name of one, is near a template as a whole, or has at least half of its words in licence lines or licence
-    paragraphs (of several, the least path's licence).
-    Nulls: a null text has no licence of its own; null parts of a path are empty. Equal units are compared once.
-    Repeated rows are each reported. An empty table gives no rows.
+    paragraphs (of several, the least path's licence; of one
+    path, the least by name).
+    Nulls: a null text has no licence of its own; null parts of a path are empty. Equal units are compared once, by a digest
+    of their words; units of any length are taken whole. Repeated rows are each reported; other columns are not looked at.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     at = path if path is not None else document_path()
@@ -127,7 +129,7 @@ def scan(docs: DataFrame, path: Column | None = None, templates: tuple[tuple[str
     speaks = (F.greatest(part("line"), part("paragraph")) >= FILE_SHARE) | (F.count_if(F.col("kind") == "file") > 0) | F.first("path").rlike(FILE_NAME)
     per = settle(hits.groupBy("row").agg(F.max_by(F.struct("licence", "score"), F.struct("score", "licence")).alias("b"), speaks.alias("speaks"), F.first("path").alias("file")))
     parent = F.regexp_replace("file", r"/?[^/]*$", "")
-    files = settle(per.where("speaks").groupBy(parent.alias("dir")).agg(F.min_by("b.licence", "file").alias("dir_licence")))
+    files = settle(per.where("speaks").groupBy(parent.alias("dir")).agg(F.min_by("b.licence", F.struct("file", "b.licence")).alias("dir_licence")))
     own = row.drop("text").join(per.select("row", F.col("b.licence").alias("own_licence"), F.col("b.score").alias("score")), "row", "left")
     own = settle(own)
     steps = F.split(F.regexp_replace("path", r"/?[^/]*$", ""), "/")

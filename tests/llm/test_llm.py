@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -188,6 +189,86 @@ def test_full_licence_files_and_wrapped_headers(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def brute_licences(rows, templates):
+    """(path -> (own licence, licence, inherited from)) by plain Python, for rows (path, text)."""
+    import regex
+
+    term = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
+    terms = lambda t: term.findall(t.lower())
+    anchor = regex.compile(licences.ANCHORS)
+    known = {}
+    for name, t in templates:
+        known.setdefault(" ".join(terms(t)), []).append(name)
+    units = []
+    for k, (_, t) in enumerate(rows):
+        if t and anchor.search(t):
+            blank = lambda x: not any(c.isalnum() for c in x)
+            groups = lambda lines, empty: [list(g) for full, g in itertools.groupby(lines, key=lambda x: not empty(x)) if full]
+            lines = t.split("\n")
+            for kind, parts in (("line", lines), ("paragraph", ["\n".join(g) for g in groups(lines, blank)]), ("block", ["\n".join(g) for g in groups(lines, lambda x: not x.strip())]), ("file", [t])):
+                units += [(k, kind, " ".join(terms(x))) for x in parts if anchor.search(x)]
+    n = Counter(u for *_, u in units)
+    for line, names in known.items():
+        n[line] += len(names)
+    df = Counter()
+    for line, c in n.items():
+        for w in set(line.split()):
+            df[w] += c
+    whole = sum(n.values())
+    weights = {line: {w: tf * (math.log((whole + 1) / (df[w] + 1)) + 1) for w, tf in Counter(line.split()).items()} for line in n}
+    norm = {line: math.sqrt(sum(x * x for x in v.values())) for line, v in weights.items()}
+    best = {}
+    for line in n:
+        found = [(round(sum(x * weights[t].get(w, 0) for w, x in weights[line].items()) / (norm[line] * norm[t]), 6), name) for t, names in known.items() for name in names if norm[line] and norm[t]]
+        if found and max(found)[0] >= licences.COSINE:
+            best[line] = max(found)
+    own, speaks = {}, {}
+    for k, (path, t) in enumerate(rows):
+        hits = [(kind, best[u], len(u.split())) for j, kind, u in units if j == k and u in best]
+        if hits:
+            own[k] = max(b for _, b, _ in hits)[1]
+            share = max(sum(c for x, _, c in hits if x == kind) for kind in ("line", "paragraph")) / len(terms(t))
+            if share >= licences.FILE_SHARE or any(x == "file" for x, *_ in hits) or regex.search(licences.FILE_NAME, path):
+                d = path.rpartition("/")[0]
+                speaks[d] = min(speaks.get(d, (path, own[k])), (path, own[k]))
+    out = []
+    for k, (path, _) in enumerate(rows):
+        up, source, licence = path.rpartition("/")[0], None, own.get(k)
+        while licence is None:
+            if up in speaks:
+                source, licence = up, speaks[up][1]
+            elif not up:
+                break
+            up = up.rpartition("/")[0]
+        out.append((path, own.get(k), licence, source))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_licences_by_brute_force(spark, seed):
+    """Random files of template words, with ties, repeated templates and files, long lines and nested directories."""
+    r = random.Random(seed)
+    templates = [*licences.TEMPLATES[:9], ("X-1", licences.TEMPLATES[0][1]), ("Z-1", "wholly other words under no licence at all"), ("Z-1", "wholly other words under no licence at all")]
+    words = [w for _, t in templates for w in t.split()] + [f"x{i}" for i in range(30)]
+    rows = []
+    for i in range(70):
+        lines = []
+        for _ in range(r.randint(0, 7)):
+            kind, w = r.random(), r.choice(templates)[1].split()
+            if kind < 0.5:
+                for _ in range(r.randint(0, len(w) // 2)):
+                    w[r.randrange(len(w))] = r.choice(words)
+                lines.append(r.choice(["", "# ", " * "]) + " ".join(w))
+            else:
+                lines.append("" if kind < 0.7 else " ".join(r.choice(words) for _ in range(r.choice([1, 6, 20]))))
+        name = r.choice(["LICENSE", "COPYING.txt", f"f{i}.py", f"g{i}.c"])
+        rows.append(("/".join([*r.choice(["", "a", "a/b", "a/b/c", "d/e"]).split("/"), name]).lstrip("/"), r.choice(["\n".join(lines), "\n".join(lines), None]) if i % 9 else "\n".join(lines)))
+    rows += [("a/long.txt", "license " + "x1 " * 30_000 + "\n" + templates[0][1]), rows[0], rows[1]]
+    frame = spark.createDataFrame([(i, t, p, "clash") for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string, line string")
+    got = [tuple(x) for x in licences.scan(frame, F.col("path"), tuple(templates)).select("path", "own_licence", "licence", "inherited_from").collect()]
+    assert sorted(got, key=str) == brute_licences(rows, templates)
+
+
 # --- 3 substrings --------------------------------------------------------------------------------------------------
 
 
