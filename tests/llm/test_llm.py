@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -732,6 +733,75 @@ def test_secret_candidates_lose_none(spark):
     assert [yes for yes, _ in verdicts(spark, model, kept)] == [set()] * 5
 
 
+def brute_candidates(text):
+    """(start, candidate), read character by character from the rules' wording."""
+    token, out, p = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"), [], 0
+    name = re.compile(rf"(?i:{secrets.NAMES})s?(?:[_\-0-9][A-Za-z0-9_\-]{{0,24}})?[\"']?\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}([\"']?)\Z")
+
+    def run(at, allowed):
+        while at < len(text) and allowed(text[at]):
+            at += 1
+        return at
+
+    def named(at):
+        before = name.search(text[max(0, at - 120) : at])
+        if not before:
+            return None
+        end = run(at, lambda c: not c.isspace() and c not in "\"'")
+        if before[1] and end > at and text[end : end + 1] in ("'", '"'):
+            return end
+        end = run(at, lambda c: not c.isspace() and c not in "\"'`,;<>(){}[]&?=|")
+        if end == at:
+            return None
+        pad = min(run(end, lambda c: c == "=") - end, 2)
+        return end + pad if end + pad == len(text) or text[end + pad].isspace() or text[end + pad] in "\"'&,;" else end
+
+    def tokens(at):
+        if at and (text[at - 1] in token or (at > 1 and text[at - 1] == "." and text[at - 2] in token)) or text[at] not in token:
+            return None
+        whole = run(at, lambda c: c in token or c == ".")
+        if whole - at < 16 or not any(c.isdigit() for c in text[at:whole]):
+            return None
+        end = run(at, lambda c: c in token)
+        while end + 1 < len(text) and text[end] == "." and text[end + 1] in token:
+            end = run(end + 1, lambda c: c in token)
+        pad = min(run(end, lambda c: c == "=") - end, 2)
+        return end + pad if end + pad == len(text) or text[end + pad] not in token | set("=\"'") else end
+
+    while p < len(text):
+        end = named(p) or tokens(p)
+        if end:
+            out.append((p, text[p:end]))
+        p = end or p + 1
+    return out
+
+
+def test_candidates_by_brute_force(spark):
+    r = random.Random(22)
+    parts = ["token", "API_KEY", "passwords", "auth_v2-x", " ", " ", "=", ":", "=>", "==", "\"", "'", ".", ",", "&", "?", "{", "a1b2c3d4e5f6a7b8c9", "Zz9" * 8, "eyJ0.aB1", "x" * 20, "word", "7", "/", "-", "\n", "secret", "my_"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    found = defaultdict(list)
+    for x in secrets.candidates(docs(spark, texts), F.lit("")).collect():
+        found[x.doc_id].append((x.start, x.candidate))
+    assert sum(map(len, found.values())) > 2000
+    assert [(t, sorted(found[i])) for i, t in enumerate(texts) if sorted(found[i]) != brute_candidates(t)][:2] == []
+
+
+def test_planted_secrets_are_found_and_others_left(spark):
+    """Recall and precision on findings in running text, of kinds and places that the training's generator does not make."""
+    r = random.Random(23)
+    words = [w for _, t in licences.TEMPLATES for w in t.split()]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rnd = lambda n, s: "".join(r.choice(s) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = [lambda: f'token = "{rnd(40, "0123456789abcdef")}"', lambda: f"AWS_SECRET_ACCESS_KEY={rnd(38, alnum)}7b", lambda: f"password: {rnd(12, alnum)}4", lambda: f"AKIA{rnd(15, alnum[:26])}7", lambda: f'"client_secret": "{rnd(30, alnum)}1"']
+    plain = [lambda: f"commit {rnd(40, '0123456789abcdef')}", lambda: f"card {rnd(16, '0123456789')}", lambda: f"order number {rnd(18, '0123456789')}", lambda: f"https://host.net/{say(1)}/2024/05/{rnd(6, '0123456789')}-page-of-it", lambda: "password: required"]
+    texts = [f"{say(20)} {r.choice(kind)()} {say(20)}" for kind in (secret, plain) for _ in range(150)]
+    model = secrets.train(secrets.labelled_findings(spark))
+    said = Counter((x.doc_id < 150, x.is_secret) for x in secrets.scan(docs(spark, texts), model).collect())
+    assert said[True, True] >= 0.95 * 150 and said[False, True] <= 0.05 * said[True, True]
+
+
 # --- 10 quality ----------------------------------------------------------------------------------------------------
 
 
