@@ -36,6 +36,8 @@ class CleanOptions:
     normalize_phones: bool = False
     normalize_dates: bool = False
     date_target: str = "%Y-%m-%d"
+    #: Values that no known format takes go to a general parser, in Python workers.
+    lenient_dates: bool = False
     email_columns: tuple[str, ...] = field(default_factory=tuple)
     phone_columns: tuple[str, ...] = field(default_factory=tuple)
     date_columns: tuple[str, ...] = field(default_factory=tuple)

@@ -37,7 +37,7 @@ def cell_steps(options: CleanOptions) -> list[tuple[str, Callable[[str], bool],
             (options.trim_spaces, "spaces_trimmed", any_, text.trim_spaces),
             (options.normalize_emails, "emails_normalized", named(options.email_columns), text.normalize_email),
             (options.normalize_phones, "phones_normalized", named(options.phone_columns), text.normalize_phone),
-            (options.normalize_dates, "dates_normalized", named(options.date_columns), lambda c: text.normalize_date(c, options.date_target)),
+            (options.normalize_dates, "dates_normalized", named(options.date_columns), lambda c: text.normalize_date(c, options.date_target, options.lenient_dates)),
         ) if on
     ]
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DATE_TARGETS, DROP, UNKNOWN, ZERO, CleanOptions
-from .functions import numbers, text
+from .functions import headers, numbers, text
 from .operators import columns, impute, outliers, profile, quality, rows, semantic, similarity, stats
 from .operators.common import ROW_ID
 from .plans import pipeline, report
@@ -146,6 +146,25 @@ def _(s, d):
     return table(s, d, "customer").select("c_custkey", score.alias("score"), numbers.score_label_col(score).alias("label"))
 
 
+@query("value_shapes", r"""WITH v AS (SELECT page_id AS i, url AS u, CASE WHEN page_id % 3 = 0 THEN concat('$', page_id * 1000, '.50') ELSE concat(page_id, ' EUR') END AS c, CASE WHEN page_id % 4 < 3 THEN concat(page_id, '.5 %') ELSE url END AS p, CASE WHEN page_id % 2 = 0 THEN concat('u', page_id, '@x.org') ELSE concat('u', page_id, '@x') END AS e FROM pages)
+SELECT round(avg(regexp_matches(trim(u), '^(https?://|www\.)', 'i')::INT), 6) AS url_ratio, round(avg(regexp_full_match(trim(c), '[\$€£¥₹]?\s?\d[\d,]*(\.\d{1,4})?')::INT), 6) AS currency_ratio,
+ round(avg(regexp_full_match(trim(p), '\d+\.?\d*\s?%')::INT), 6) AS percent_ratio, round(avg(regexp_full_match(trim(e), '[\w._%+\-]+@[\w.\-]+\.[a-zA-Z]{2,}')::INT), 6) AS email_ratio FROM v""")
+def _(s, d):
+    i = F.col("page_id")
+    money = F.when(i % 3 == 0, F.concat(F.lit("$"), (i * 1000).cast("string"), F.lit(".50"))).otherwise(F.concat(i.cast("string"), F.lit(" EUR")))
+    part = F.when(i % 4 < 3, F.concat(i.cast("string"), F.lit(".5 %"))).otherwise(F.col("url"))
+    mail = F.concat(F.lit("u"), i.cast("string"), F.when(i % 2 == 0, "@x.org").otherwise("@x"))
+    tests = {"url_ratio": (text.looks_url, F.col("url")), "currency_ratio": (text.looks_currency, money), "percent_ratio": (text.looks_percent, part), "email_ratio": (text.looks_email, mail)}
+    return table(s, d, "pages").agg(*[F.round(stats.match_ratio(test(v), v), 6).alias(n) for n, (test, v) in tests.items()])
+
+
+@query("header_names", "SELECT * FROM (VALUES (0, 'Order ID', 'order_id'), (1, 'orderId', 'order_id_2'), (2, 'ORDER-id', 'order_id_3'), (3, 'Total ($)', 'total'), (4, '', 'column'), (5, 'column_2', 'column_2')) t(position, header, name)")
+def _(s, d):
+    names = [" Order ID", "orderId ", "ORDER-id", "Total ($)", " ", "column_2"]
+    bare, _ = headers.strip_headers(s.createDataFrame([], ", ".join(f"`{x}` int" for x in names)))
+    return s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(bare.columns, headers.normalize_headers(bare)[0].columns, strict=True))], "position int, header string, name string")
+
+
 # --- rows and columns ---------------------------------------------------------------------------------------------
 
 
@@ -302,6 +321,20 @@ def _(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("outlier_preview", SQL_IQR.format("events", "value") + "SELECT event_id, value FROM events, b WHERE value < lo OR value > hi ORDER BY event_id LIMIT 20")
+def _(s, d):
+    df = table(s, d, "events").select(F.col("event_id").alias(ROW_ID), "value")
+    values = outliers.iqr(df, "value")["values"]
+    first = outliers.iqr_rows(df, "value").where(F.col("value").isin(values)).orderBy(ROW_ID).limit(outliers.PREVIEW)
+    return first.select(F.col(ROW_ID).alias("event_id"), "value")
+
+
+@query("all_outliers", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM ({SQL_IQR.format('events', f'CAST({c} AS DOUBLE)')} SELECT '{c}' AS \"column\", (SELECT count(*) FROM events, b WHERE {c} < lo OR {c} > hi) AS outliers)" for c in ("event_id", "user_id", "value")) + ") WHERE outliers > 0")
+def _(s, d):
+    found = outliers.all_outliers(table(s, d, "events"))
+    return s.createDataFrame([(c, r["count"]) for c, r in found.items()], "`column` string, outliers long")
+
+
 @query("zscore_outliers", "WITH m AS (SELECT avg(value) AS mu, stddev_samp(value) AS sd FROM events) SELECT event_id, value FROM events, m WHERE abs((value - mu) / sd) > 3")
 def _(s, d):
     return outliers.zscore_rows(table(s, d, "events"), "value").select("event_id", "value")
@@ -339,7 +372,17 @@ def _(s, d):
 _TYPED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@query("semantic_types")
+#: What the names, kinds and values of the test tables' columns say, as expected.
+SEMANTIC_EXPECTED = {
+    "id": "region.r_regionkey nation.n_nationkey customer.c_custkey supplier.s_suppkey part.p_partkey orders.o_orderkey events.event_id events.user_id documents.doc_id embeddings.vec_id pages.page_id benchmark.item_id labels.doc_id conversations.conv_id",
+    "categorical": "region.r_name customer.c_mktsegment part.p_name part.p_brand part.p_type orders.o_orderstatus orders.o_orderpriority lineitem.l_returnflag lineitem.l_linestatus events.event_type events.props documents.lang documents.source conversations.role",
+    "text": "nation.n_name customer.c_name supplier.s_name documents.text pages.html benchmark.text conversations.text",
+    "numeric": "nation.n_regionkey customer.c_nationkey customer.c_acctbal supplier.s_nationkey supplier.s_acctbal part.p_size orders.o_custkey lineitem.l_orderkey lineitem.l_partkey lineitem.l_suppkey lineitem.l_linenumber lineitem.l_quantity lineitem.l_discount lineitem.l_tax events.value documents.n_chars embeddings.label labels.quality labels.toxic conversations.turn",
+    "currency": "part.p_retailprice orders.o_totalprice lineitem.l_extendedprice", "date": "orders.o_orderdate lineitem.l_shipdate events.ts", "url": "pages.url", "unknown": "embeddings.embedding",
+}
+
+
+@query("semantic_types", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(*x.split("."), kind) for kind, xs in SEMANTIC_EXPECTED.items() for x in xs.split()) + ") t(name, \"column\", semantic)")
 def _(s, d):
     found = [(t, c, k) for t in _TYPED for c, k in semantic.semantic_types(table(s, d, t)).items()]
     return s.createDataFrame(found, "name string, `column` string, semantic string")
@@ -381,7 +424,20 @@ def _(s, d):
     return s.createDataFrame([(*(r.categories[k] for k in ("completeness", "uniqueness", "consistency", "validity")), r.score)], "completeness int, uniqueness int, consistency int, validity int, score int")
 
 
-@query("dq_issues")
+_DIRTY_TEXTS = ("seg", "email", "phone", "dt", "const_col", "empty_col")
+SQL_FACTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS c, count(*) AS n, count(*) - count({c}) AS m, count(DISTINCT {c}) AS u, {str(c in _DIRTY_TEXTS).lower()} AS is_text, (SELECT number_ratio FROM (SELECT {SQL_SHAPES.format(f'{c}::VARCHAR')} FROM d WHERE {c} IS NOT NULL)) AS nr, (SELECT date_ratio FROM (SELECT {SQL_SHAPES.format(f'{c}::VARCHAR')} FROM d WHERE {c} IS NOT NULL)) AS dr FROM d"
+    for c in _DIRTY_COLUMNS
+)
+SQL_ISSUES = D + f""", f AS ({SQL_FACTS}), g AS (SELECT *, format('{{:,}} of {{:,}} cells ({{:.1f}}%) are missing.', m, n, m / n * 100) AS said FROM f)
+SELECT 'HIGH' AS severity, 'completeness' AS category, c AS "column", concat(c, ' is nearly empty') AS title, said AS detail, concat('Drop ', c, ', or find its values.') AS recommendation FROM g WHERE m / n > 0.70
+UNION ALL SELECT 'MEDIUM', 'completeness', c, concat('Much of ', c, ' is missing'), said, concat('Decide whether to fill, flag or drop what is missing in ', c, '.') FROM g WHERE m / n > 0.15 AND m / n <= 0.70
+UNION ALL SELECT 'MEDIUM', 'consistency', c, concat(c, ' mixes numbers and text'), format('{{:.0f}}% of its values are numbers.', nr * 100), concat('Settle on one kind of value in ', c, '.') FROM g WHERE is_text AND nr > 0 AND nr < 0.9
+UNION ALL SELECT 'MEDIUM', 'consistency', c, concat(c, ' mixes dates and text'), format('{{:.0f}}% of its values hold dates.', dr * 100), concat('Bring the dates of ', c, ' to one format.') FROM g WHERE is_text AND NOT (nr > 0 AND nr < 0.9) AND dr > 0 AND dr < 0.9
+UNION ALL SELECT 'LOW', 'consistency', c, concat(c, ' has few values'), format('{{}} distinct values in {{:,}}.', u, n - m), concat('Encode ', c, ' as a category.') FROM g WHERE is_text AND u / (n - m) < 0.05 AND u > 1 AND n >= 50"""
+
+
+@query("dq_issues", SQL_ISSUES)
 def _(s, d):
     return quality.issues_table(dirty(s, d))
 

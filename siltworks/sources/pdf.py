@@ -46,6 +46,11 @@ def empty_result(page: int) -> dict:
     return {"page": page, "table_index": None, "method": "none", "dataframe": None, "rows": 0, "cols": 0}
 
 
+def page_limit_record(total: int, most: int, path: str) -> dict:
+    """What stands for a file with too many pages, of which none is read."""
+    return empty_result(0) | {"page": None, "method": "page_limit_exceeded", "total_pages": total, "max_pages": most, "filename": path.rpartition("/")[2]}
+
+
 def chosen_pages(n: int, selection: str, specific: list | None, limits: Limits) -> list[int] | None:
     """1-based pages to read; None if `all` of them are more than the limit."""
     if selection == "specific":
@@ -66,7 +71,7 @@ def extract_tables(spark: SparkSession, path: str, selection: str = "all", speci
         with pdfplumber.open(io.BytesIO(content(spark, path))) as pdf:
             pages = chosen_pages(len(pdf.pages), selection, specific, limits)
             if pages is None:
-                return [empty_result(0) | {"method": "page_limit_exceeded", "rows": len(pdf.pages)}]
+                return [page_limit_record(len(pdf.pages), limits.max_pdf_pages, path)]
             for k, number in enumerate(pages):
                 if progress:
                     progress((k + 1) / len(pages), f"page {number}")

@@ -104,3 +104,8 @@ def test_batch(spark, tmp_path):
         export.to_bytes(results[0][1], "xls")
     with pytest.raises(TypeError):
         export.to_bytes([1], "csv")
+
+
+def test_page_limit_record():
+    got = pdf.page_limit_record(150, 100, "/in/some.pdf")
+    assert (got["page"], got["method"], got["total_pages"], got["max_pages"], got["filename"], got["dataframe"], got["rows"]) == (None, "page_limit_exceeded", 150, 100, "some.pdf", None, 0)
