@@ -44,7 +44,11 @@ DICTIONARY = (
     "number|string|class|config|default|service|server|client|change|your|here|abc|123456|000000|xxxx|"
     "required|optional|none|null|true|false|self|environ|getpass|must|not|field|valid|expired|reset"
 )
-FEATURES = ("length", "digits", "uppers", "changes", "distinct", "hexes", "coverage", "path_example", "named", "assigned", "quoted", "harmless", "prefixed", "naming")
+# Pairs of letters that follow one another often in words.
+BIGRAMS = (
+    "th|he|in|er|an|re|nd|at|on|nt|ha|es|st|en|ed|to|it|ou|ea|hi|is|or|ti|as|te|et|ng|of|al|de|se|le|sa|si|ar|ve|ra|ld|ur|io|co|me|ne|li|ce|ro|ma|el|il|us"
+)
+FEATURES = ("bigrams", "length", "digits", "uppers", "changes", "distinct", "hexes", "coverage", "path_example", "named", "assigned", "quoted", "harmless", "prefixed", "naming")
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -62,6 +66,8 @@ def features(rows: DataFrame) -> DataFrame:
         "uppers": 1 - left("[A-Z]") / n,
         # Character transitions: runs of one kind of character, for each character.
         "changes": F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")).cast("double") / n,
+        # And of letters: the part of neighbouring characters that words have.
+        "bigrams": F.size(F.regexp_extract_all(F.lower(c), F.lit(f"(?=({BIGRAMS}))"), F.lit(1))).cast("double") / n,
         "distinct": F.size(F.array_distinct(F.split(c, ""))).cast("double") / n,
         "hexes": 1 - left("[0-9a-fA-F]") / n,
         "coverage": 1 - left(DICTIONARY, F.lower(c)) / n,
