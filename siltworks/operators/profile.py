@@ -3,31 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.numbers import percent
-from .columns import duplicate_groups
-from .common import ROW_ID, data_columns
+from .columns import duplicate_groups, fingerprint_aggregates
+from .common import ROW_ID, col, data_columns
 from .rows import duplicate_count
 from .semantic import semantic_types, type_groups
-from .stats import distinct_counts, null_profile, samples
+from .stats import distinct_counts, samples
 
 
 def profile(df: DataFrame, row_id: str = ROW_ID) -> dict:
     """Dataset figures and, per column, dtype, semantic type, missing, missing_pct, unique and sample."""
     names = data_columns(df, row_id)
     rows, repeated = duplicate_count(df, row_id).first() if names else (df.count(), 0)
-    missing = {r["column"]: r["missing"] for r in null_profile(df, row_id).collect()} if names else {}
+    # Missing cells and fingerprints in one scan.
+    found = df.agg(*[F.count_if(col(c).isNull()) for c in names], *fingerprint_aggregates(df, row_id)).first() if names else []
+    missing = dict(zip(names, found, strict=False))
     unique = {r["column"]: r["distinct"] for r in distinct_counts(df, row_id).collect()} if names else {}
     sample = {r["column"]: r["sample"] for r in samples(df, row_id=row_id).collect()} if names else {}
     types = semantic_types(df, row_id, unique)
     groups = type_groups(types)
     kinds = dict(df.dtypes)
+    marks = {c: (kinds[c], m) for c, m in zip(names, found[len(names) :], strict=True)}
     total = sum(missing.values())
     out = {
         "rows": rows, "columns": len(names), "missing_count": total, "missing_pct": round(percent(total, rows * len(names)), 2),
         "duplicate_rows": repeated, "duplicate_row_pct": round(percent(repeated, rows), 2),
         "constant_cols": [c for c in names if unique[c] <= 1], "empty_cols": [c for c in names if missing[c] == rows],
-        "dup_col_groups": duplicate_groups(df, row_id), "type_groups": groups,
+        "dup_col_groups": duplicate_groups(df, row_id, marks), "type_groups": groups,
         "col_profiles": {
             c: {"dtype": kinds[c], "semantic": types[c], "missing": missing[c], "missing_pct": round(percent(missing[c], max(rows, 1)), 2), "unique": unique[c], "sample": sample.get(c, [])}
             for c in names

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +19,9 @@ CONTENT = (
 )
 
 
-def content_ratios(df: DataFrame, names: list[str]) -> dict[str, dict[str, float]]:
-    """For each text column, the part of all values that passes each content test. One scan."""
-    if not names:
-        return {}
-    row = df.agg(*[F.struct(*[match_ratio(test(col(c)), col(c)).alias(kind) for kind, test, _ in CONTENT]) for c in names]).first()
-    return {c: r.asDict() for c, r in zip(names, row, strict=True)}
+def content_ratio(name: str) -> Column:
+    """For a text column, the part of all values that passes each content test, as an aggregate."""
+    return F.struct(*[match_ratio(test(col(name)), col(name)).alias(kind) for kind, test, _ in CONTENT])
 
 
 def by_cardinality(distinct: int, values: int) -> str:
@@ -47,7 +44,7 @@ def dense_keys(df: DataFrame, names: list[str]) -> dict[str, bool]:
 
 
 def semantic_types(df: DataFrame, row_id: str | None = ROW_ID, distinct: dict[str, int] | None = None) -> dict[str, str]:
-    """The semantic type of every column, in column order."""
+    """The semantic type of every column, in column order. One scan beside that for distinct values."""
     kinds = {f.name: f.dataType for f in df.schema}
     out: dict[str, str] = {}
     for c in data_columns(df, row_id):
@@ -63,13 +60,14 @@ def semantic_types(df: DataFrame, row_id: str | None = ROW_ID, distinct: dict[st
     if open_:
         wanted = distinct or {r["column"]: r["distinct"] for r in distinct_counts(df, row_id, open_).collect()}
         whole = [c for c in open_ if isinstance(kinds[c], T.IntegralType)]
-        facts = df.agg(F.count("*"), *[F.struct(F.count(col(c)), *([F.min(col(c)), F.max(col(c))] if c in whole else [])) for c in open_]).first()
-        rows, found = facts[0], dict(zip(open_, facts[1:], strict=True))
+        strings = [c for c in open_ if isinstance(kinds[c], T.StringType)]
+        counts = [F.struct(F.count(col(c)), *([F.min(col(c)), F.max(col(c))] if c in whole else [])) for c in open_]
+        facts = df.agg(F.count("*"), *counts, *map(content_ratio, strings)).first()
+        rows, found, ratios = facts[0], dict(zip(open_, facts[1:], strict=False)), dict(zip(strings, facts[1 + len(open_) :], strict=True))
         for c in whole:
             n, low, high = found[c]
             out[c] = "id" if n and is_id(n, wanted[c], low, high, n < rows) else "numeric"
         texts = [c for c in open_ if c not in whole]
-        ratios = content_ratios(df, [c for c in texts if isinstance(kinds[c], T.StringType)])
         for c in texts:
             hit = next((kind for kind, _, least in CONTENT if c in ratios and ratios[c][kind] >= least), None) if found[c][0] else None
             out[c] = hit or by_cardinality(wanted[c], found[c][0])
