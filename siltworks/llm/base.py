@@ -72,7 +72,7 @@ def release(spark: SparkSession) -> None:
 def store(df: DataFrame) -> DataFrame:
     """Like settle(), as a compressed Parquet table, for wide rows; partitions and order may differ when it is read."""
     at = f"{shared_dir(df.sparkSession).rstrip('/')}/siltworks-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

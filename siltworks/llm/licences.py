@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, settle
+from .base import discard, documents, settle, store
 
 # Licences and the notices by which files name them.
 TEMPLATES = (
@@ -118,13 +118,17 @@ def scan(docs: DataFrame, path: Column | None = None, templates: tuple[tuple[str
         units("line", F.split("text", r"\r?\n")), units("paragraph", F.split("text", r"\n(?:[^\p{L}\p{N}\n]*+\n)++")),
         units("block", F.split("text", r"\n(?:[\s&&[^\n]]*+\n)++")), units("file", F.array("text")),
     )
-    row = settle(rows.select("doc_id", "path", F.when(has, F.col("text")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    each = row.where("text IS NOT NULL").select("row", "path", F.size(terms(F.col("text"))).alias("words"), F.explode(parts).alias("u"))
-    each = settle(each.select("row", "path", "words", "u.kind", F.md5("u.line").alias("key"), F.size(F.split("u.line", " ")).alias("size"), "u.line"))
+    # Texts are kept once, compressed; their units' words go no further than to the distinct units.
+    row = store(rows.select("doc_id", "path", F.when(has, F.col("text")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    words = F.size(terms(F.col("text"))).alias("words")
+    lines = row.where("text IS NOT NULL").select(F.explode(parts).alias("u")).select(F.md5("u.line").alias("key"), "u.line")
+    each = row.where("text IS NOT NULL").select("row", "path", words, F.explode(parts).alias("u"))
+    each = settle(each.select("row", "path", "words", "u.kind", F.unhex(F.md5("u.line")).alias("key"), F.size(F.split("u.line", " ")).alias("size")))
     known = spark.createDataFrame(list(full_templates() if templates is None else templates), "licence string, template string")
     known = settle(known.withColumn("line", F.array_join(terms(F.col("template")), " ")).withColumn("key", F.md5("line")).select("key", "licence", "line"))
-    matched = settle(match_lines(settle(each.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("n"))), known, cosine))
-    hits = each.drop("line").join(matched, "key")
+    units_ = store(lines.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("n")))
+    matched = settle(match_lines(units_, known, cosine).withColumn("key", F.unhex("key")))
+    hits = each.join(matched, "key")
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("size"))) / F.first("words"), F.lit(0.0))
     speaks = (F.greatest(part("line"), part("paragraph")) >= FILE_SHARE) | (F.count_if(F.col("kind") == "file") > 0) | F.first("path").rlike(FILE_NAME)
     per = settle(hits.groupBy("row").agg(F.max_by(F.struct("licence", "score"), F.struct("score", "licence")).alias("b"), speaks.alias("speaks"), F.first("path").alias("file")))
@@ -132,6 +136,7 @@ def scan(docs: DataFrame, path: Column | None = None, templates: tuple[tuple[str
     files = settle(per.where("speaks").groupBy(parent.alias("dir")).agg(F.min_by("b.licence", F.struct("file", "b.licence")).alias("dir_licence")))
     own = row.drop("text").join(per.select("row", F.col("b.licence").alias("own_licence"), F.col("b.score").alias("score")), "row", "left")
     own = settle(own)
+    discard(row, units_)
     steps = F.split(F.regexp_replace("path", r"/?[^/]*$", ""), "/")
     up = F.transform(F.sequence(F.size(steps), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
     # One row per directory and ancestor, not per document: as many as paths are deep.

@@ -245,7 +245,7 @@ def brute_licences(rows, templates):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_licences_by_brute_force(spark, seed):
     """Random files of template words, with ties, repeated templates and files, long lines and nested directories."""
     r = random.Random(seed)
@@ -411,7 +411,7 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(frame.where("false"))).count() == 0
 
 
-@pytest.mark.parametrize("share", [15, 60, 100_000])
+@pytest.mark.parametrize("share", [15, 100_000])
 def test_packing_rounds(spark, share):
     """Many small tasks and rounds lose no document, fill no sequence over and need hardly more sequences than one task."""
     r = random.Random(share)
@@ -526,7 +526,7 @@ def water(sizes, weights, most=3):
         capped |= over
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_mixing(spark, seed):
     r = random.Random(seed)
     names = ["b", "a", "é", "Z", None, "tiny", "dust"]
@@ -574,7 +574,7 @@ def brute_mix(rows):
     return +want, goals
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_mixed_documents_stay_whole(spark, seed):
     """Also where ids repeat or are null."""
     r = random.Random(seed)
@@ -612,7 +612,7 @@ def brute_near(rows, words, percent):
     return sorted(((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets), key=str)
 
 
-@pytest.mark.parametrize(("words", "seed"), [(4, 3), (4, 30), (5, 31)])
+@pytest.mark.parametrize(("words", "seed"), [(4, 3), (5, 31)])
 def test_near_duplicates(spark, words, seed):
     texts = corpus(11 + words, n=110)
     r = random.Random(seed)
