@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import discard, documents, settle, store
+from .base import discard, documents, release, settle, store
 
 # Licences and the notices by which files name them.
 TEMPLATES = (
@@ -121,12 +121,16 @@ def scan(docs: DataFrame, path: Column | None = None, templates: tuple[tuple[str
     # Texts are kept once, compressed; their units' words go no further than to the distinct units.
     row = store(rows.select("doc_id", "path", F.when(has, F.col("text")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
     words = F.size(terms(F.col("text"))).alias("words")
-    lines = row.where("text IS NOT NULL").select(F.explode(parts).alias("u")).select(F.md5("u.line").alias("key"), "u.line")
+    # A text without blank lines is its own paragraph, block and file: it is sent once.
+    once = F.array_distinct(F.transform(parts, lambda u: u["line"]))
+    lines = row.where("text IS NOT NULL").select(F.explode(once).alias("line")).select(F.md5("line").alias("key"), "line")
     each = row.where("text IS NOT NULL").select("row", "path", words, F.explode(parts).alias("u"))
     each = settle(each.select("row", "path", "words", "u.kind", F.unhex(F.md5("u.line")).alias("key"), F.size(F.split("u.line", " ")).alias("size")))
     known = spark.createDataFrame(list(full_templates() if templates is None else templates), "licence string, template string")
     known = settle(known.withColumn("line", F.array_join(terms(F.col("template")), " ")).withColumn("key", F.md5("line")).select("key", "licence", "line"))
-    units_ = store(lines.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("n")))
+    counts = each.groupBy("key").agg(F.count("*").alias("n")).select(F.lower(F.hex("key")).alias("key"), "n")
+    units_ = store(lines.groupBy("key").agg(F.first("line").alias("line")).join(counts, "key"))
+    release(spark)
     matched = settle(match_lines(units_, known, cosine).withColumn("key", F.unhex("key")))
     hits = each.join(matched, "key")
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("size"))) / F.first("words"), F.lit(0.0))
