@@ -13,6 +13,37 @@ from .common import ROW_ID, col
 
 #: Keys up to this length are compared in one BIGINT; 62 keeps the sums below its sign.
 BITS = 62
+#: Longest keys whose subsequences with one, two and three characters less are listed: a thousand at most for each key.
+LISTED = (100, 32, 19)
+#: Rows of one key that go together when pairs of keys become pairs of rows.
+TOGETHER = 1024
+
+
+def least_common(t: float) -> str:
+    """SQL: the common characters that the threshold asks of keys a and b."""
+    return f"greatest(ceil({t / 2!r}D * (a.n + b.n) - 1e-9D), 1)"
+
+
+def listed(t: float) -> str:
+    """SQL: whether keys a and b, a the longer, are to meet on subsequences; else they meet on prefixes."""
+    return f"a.n <= CASE a.n - {least_common(t)} WHEN 0 THEN a.n " + " ".join(f"WHEN {k} THEN {n}" for k, n in enumerate(LISTED, 1)) + " ELSE 0 END"
+
+
+def lengths_that_meet(keys: DataFrame, t: float) -> list:
+    """For each length of keys: `cut`, how many characters less the subsequences have on which such keys meet others (null: on none), and `far`, whether some are met on prefixes."""
+    lengths = keys.select("n").distinct()
+    pairs = lengths.alias("a").join(lengths.alias("b"), F.expr(f"a.n >= b.n AND b.n >= {least_common(t)}"))
+    pairs = pairs.select(F.expr(listed(t)).alias("listed"), F.inline(F.expr(f"array(struct(a.n AS n, a.n - {least_common(t)} AS cut), struct(b.n AS n, b.n - {least_common(t)} AS cut))")))
+    return pairs.groupBy("n").agg(F.max(F.when(F.col("listed"), F.col("cut"))).cast("int").alias("cut"), F.max(~F.col("listed")).alias("far")).collect()
+
+
+def subsequences(keys: DataFrame, deepest: int) -> DataFrame:
+    """A row for each key and each subsequence of it with up to `cut` characters less."""
+    keys = keys.withColumn("cut0", F.array("sorted"))
+    for k in range(1, deepest + 1):
+        less = f"flatten(transform(cut{k - 1}, s -> transform(sequence(1, greatest(length(s), 1)), p -> concat(substring(s, 1, p - 1), substring(s, p + 1)))))"
+        keys = keys.withColumn(f"cut{k}", F.expr(f"IF(cut >= {k}, array_distinct({less}), CAST(array() AS array<string>))"))
+    return keys.select("block", "key", "n", F.explode(F.concat(*(f"cut{k}" for k in range(deepest + 1)))).alias("part"))
 
 
 def masks(key: Column) -> Column:
@@ -72,34 +103,25 @@ def lcs_long(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int32")
 
 
-def fuzzy_pairs(
-    df: DataFrame, columns: list[str], threshold: float = 0.85, row_id: str = ROW_ID, limits: Limits = Limits(), block: Column | None = None
-) -> DataFrame | None:
-    """(index_a, index_b, key_a, key_b, similarity): rows a < b with unequal keys and similarity of at least the threshold.
+def near_pairs(keys: DataFrame, t: float, deepest: int) -> DataFrame:
+    """Pairs of keys that have a listed subsequence in common. All that meet are similar enough; the longest is their common part."""
+    sent = subsequences(keys, deepest)
+    longer = f"(a.n > b.n OR a.n = b.n AND a.key < b.key) AND length(a.part) >= {least_common(t)} AND {listed(t)}"
+    met = sent.alias("a").join(sent.alias("b"), F.expr(f"a.block = b.block AND a.part = b.part AND {longer}"))
+    pairs = met.groupBy(F.col("a.block").alias("block"), F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).agg(F.max(F.length("a.part")).alias("common"))
+    return pairs.withColumn("raw", 2.0 * F.col("common") / (F.length("ka") + F.length("kb"))).where(F.col("raw") >= t - 1e-12).drop("common")
 
-    Distinct keys are compared, not rows, and only keys that share a token of their prefixes (a hash join, lossless) and
-    whose lengths and characters allow the threshold; a pair is taken at its first shared token. A threshold of 0 asks for
-    all pairs. A `block` column makes keys meet only within its value, which is quicker and may lose pairs. None beyond
-    the row limit. The pair limit takes the most similar pairs.
-    """
-    if not isinstance(threshold, (int, float)) or isinstance(threshold, bool) or not 0 <= threshold <= 1:
-        raise ValueError("threshold: a number from 0 to 1")
-    names = [c for c in dict.fromkeys(columns) if c in df.columns]
-    if not names:
-        raise ValueError("columns: at least one column of the table")
-    if limits.max_fuzzy_rows is not None and df.limit(limits.max_fuzzy_rows + 1).count() > limits.max_fuzzy_rows:
-        return None
-    rows = df.select(col(row_id).alias("i"), fuzzy_key(*map(col, names)).alias("key"), (block if block is not None else F.lit(0)).alias("block")).where("key IS NOT NULL AND key <> ''")
-    keys = rows.select("block", "key").distinct().withColumn("sorted", token_sorted(F.col("key"))).withColumn("n", F.length("sorted"))
+
+def far_pairs(keys: DataFrame, t: float) -> DataFrame:
+    """Pairs of keys whose subsequences would be too many: they meet on a token of their prefixes, and are compared."""
     keys = keys.withColumn("masks", F.when(F.col("n") <= BITS, masks(F.col("sorted"))))
     keys = keys.withColumns({f"bag{k}": bag(F.col("sorted"), k) for k in (1, 2, 3)})
-    t = float(threshold)
     # Characters that one key has oftener than the other cannot be common: a bound on the similarity, and lossless.
     left_over = lambda x, y: f"{x}.n - " + " - ".join(f"bit_count({x}.bag{k} & ~{y}.bag{k})" for k in (1, 2, 3))
     can = f"2.0 * least({left_over('a', 'b')}, {left_over('b', 'a')}) >= {t!r} * (a.n + b.n) - 1e-9"
     if t > 0:
         sent = keys.withColumn("tokens", prefix(F.col("sorted"), t)).withColumn("token", F.explode("tokens"))
-        longer = f"(a.n > b.n OR a.n = b.n AND a.key < b.key) AND b.n >= {t / (2 - t)!r}D * a.n - 1e-9"
+        longer = f"(a.n > b.n OR a.n = b.n AND a.key < b.key) AND b.n >= {t / (2 - t)!r}D * a.n - 1e-9 AND NOT {listed(t)}"
         met = sent.alias("a").join(sent.alias("b"), F.expr(f"a.block = b.block AND a.token = b.token AND {longer} AND {can} AND array_intersect(a.tokens, b.tokens)[0] = a.token"))
     else:
         met = keys.alias("a").join(keys.alias("b"), F.expr("a.block = b.block AND a.key < b.key"))
@@ -108,12 +130,61 @@ def fuzzy_pairs(
     pairs = met.select(F.col("a.block").alias("block"), F.col("a.key").alias("ka"), F.col("b.key").alias("kb"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.col("a.sorted").alias("sa"), F.col("b.sorted").alias("sb"), short.alias("fit"))
     is_long = F.least("na", "nb") > BITS
     common = F.when(is_long, lcs_long(F.when(is_long, F.col("sa")), F.when(is_long, F.col("sb")))).otherwise(F.col("fit"))
-    scored = pairs.withColumn("raw", 2.0 * common / (F.col("na") + F.col("nb"))).where(F.col("raw") >= t - 1e-12).select("block", "ka", "kb", "raw")
-    left, right = rows.select("block", F.col("key").alias("ka"), F.col("i").alias("ia")), rows.select("block", F.col("key").alias("kb"), F.col("i").alias("ib"))
-    joined = scored.join(left, ["block", "ka"]).join(right, ["block", "kb"])
+    return pairs.withColumn("raw", 2.0 * common / (F.col("na") + F.col("nb"))).where(F.col("raw") >= t - 1e-12).select("block", "ka", "kb", "raw")
+
+
+def rows_of_pairs(scored: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(index_a, index_b, key_a, key_b, similarity, raw): each row of a pair's one key with each of its other.
+
+    Rows of a key go in lists of about TOGETHER. Lists meet lists and are dealt anew, so that the pairs of two frequent keys
+    are made by many tasks, and only where they are read.
+    """
+    piece = F.expr(f"pmod(xxhash64(i), CAST(ceil(size / {TOGETHER}) AS BIGINT))").alias("piece")
+    lists = rows.join(sizes, ["block", "key"]).groupBy("block", "key", piece).agg(F.collect_list("i").alias("ids"))
+    side = lambda x: lists.select("block", F.col("key").alias(f"k{x}"), F.col("piece").alias(f"piece_{x}"), F.col("ids").alias(f"ids_{x}"))
+    met = scored.withColumn("similarity", F.round("raw", 3)).join(side("a"), ["block", "ka"]).join(side("b"), ["block", "kb"])
+    # By number, as partitions of few bytes can hold many pairs and are not to be put together.
+    met = met.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "ka", "kb", "piece_a", "piece_b")
+    each = met.select("ka", "kb", "similarity", "raw", "ids_b", F.explode("ids_a").alias("ia")).select("ka", "kb", "similarity", "raw", "ia", F.explode("ids_b").alias("ib"))
     flip = F.col("ia") > F.col("ib")
     two = lambda x, y: (F.when(flip, F.col(y)).otherwise(F.col(x)), F.when(flip, F.col(x)).otherwise(F.col(y)))
     (ia, ib), (ka, kb) = two("ia", "ib"), two("ka", "kb")
-    out = joined.select(ia.alias("index_a"), ib.alias("index_b"), ka.alias("key_a"), kb.alias("key_b"), F.round("raw", 3).alias("similarity"), "raw")
-    out = out.orderBy(F.desc("similarity"), "index_a", F.desc("raw"), "index_b")
+    return each.select(ia.alias("index_a"), ib.alias("index_b"), ka.alias("key_a"), kb.alias("key_b"), "similarity", "raw")
+
+
+def fuzzy_pairs(
+    df: DataFrame, columns: list[str], threshold: float = 0.85, row_id: str = ROW_ID, limits: Limits = Limits(), block: Column | None = None, ordered: bool = True
+) -> DataFrame | None:
+    """(index_a, index_b, key_a, key_b, similarity): rows a < b with unequal keys and similarity of at least the threshold.
+
+    Distinct keys are compared, not rows. Where the threshold leaves few characters out, keys meet on the subsequences that
+    it allows, so only similar ones meet; others share a token of their prefixes (a hash join, lossless) and have lengths and
+    characters that allow the threshold; such a pair is taken at its first shared token. A threshold of 0 asks for
+    all pairs. A `block` column makes keys meet only within its value, which is quicker and may lose pairs. None beyond
+    the row limit. The pair limit takes the most similar pairs. The most similar come first, unless `ordered` is off: copies
+    of two keys are paired row by row, and sorting these pairs takes far more than making them.
+    """
+    if not isinstance(threshold, (int, float)) or isinstance(threshold, bool) or not 0 <= threshold <= 1:
+        raise ValueError("threshold: a number from 0 to 1")
+    names = [c for c in dict.fromkeys(columns) if c in df.columns]
+    if not names:
+        raise ValueError("columns: at least one column of the table")
+    if limits.max_fuzzy_rows is not None and df.limit(limits.max_fuzzy_rows + 1).count() > limits.max_fuzzy_rows:
+        return None
+    rows = df.select(col(row_id).alias("i"), fuzzy_key(*map(col, names)).alias("key"), (block if block is not None else F.lit(0)).alias("block")).where("key IS NOT NULL AND key <> ''")
+    sizes = rows.groupBy("block", "key").agg(F.count("*").alias("size"))
+    keys = sizes.select("block", "key", token_sorted(F.col("key")).alias("sorted"), F.length("key").alias("n"))
+    t = float(threshold)
+    if t > 0:
+        lengths = lengths_that_meet(rows.select(F.length("key").alias("n")), t)
+        deepest = max((r.cut for r in lengths if r.cut is not None), default=0)
+        keys = keys.join(F.broadcast(df.sparkSession.createDataFrame(lengths, "n int, cut int, far boolean")), "n")
+        scored = near_pairs(keys.where("cut IS NOT NULL"), t, deepest)
+        if any(r.far for r in lengths):
+            scored = scored.unionByName(far_pairs(keys.where("far"), t))
+    else:
+        scored = far_pairs(keys, t)
+    out = rows_of_pairs(scored, rows, sizes)
+    if ordered or limits.max_fuzzy_pairs is not None:
+        out = out.orderBy(F.desc("similarity"), "index_a", F.desc("raw"), "index_b")
     return (out if limits.max_fuzzy_pairs is None else out.limit(limits.max_fuzzy_pairs)).drop("raw")

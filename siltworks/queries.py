@@ -364,7 +364,7 @@ def _(s, d):
 
 @query("fuzzy_suppliers", SQL_FUZZY.format("s_suppkey", "s_name", "supplier", 0.9))
 def _(s, d):
-    return similarity.fuzzy_pairs(table(s, d, "supplier").select(F.col("s_suppkey").alias(ROW_ID), "s_name"), ["s_name"], 0.9)
+    return similarity.fuzzy_pairs(table(s, d, "supplier").select(F.col("s_suppkey").alias(ROW_ID), "s_name"), ["s_name"], 0.9, ordered=False)
 
 
 # --- semantic types, profile, quality -----------------------------------------------------------------------------

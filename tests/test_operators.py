@@ -135,6 +135,51 @@ def test_fuzzy(spark):
         similarity.fuzzy_pairs(frame, ["nothing"])
 
 
+def test_fuzzy_meets_only_links(spark):
+    names = [f"Supplier#{i:09d}" for i in range(0, 60000, 23)]
+    frame = spark.createDataFrame(list(enumerate(names)), f"{ROW_ID} long, name string")
+    near = {}
+    for i, x in enumerate(names):
+        for p in range(9, 18):
+            near.setdefault(x[:p] + x[p + 1 :], set()).add(i)
+    want = {(i, j) for ids in near.values() for i in ids for j in ids if i < j}
+    got = [(r.index_a, r.index_b, r.similarity) for r in similarity.fuzzy_pairs(frame, ["name"], 0.9, ordered=False).collect()]
+    assert len(got) == len(want) and {g[:2] for g in got} == want and {g[2] for g in got} == {0.944}
+    lengths = similarity.lengths_that_meet(spark.createDataFrame([(18,)], "n int"), 0.9)
+    assert [tuple(r) for r in lengths] == [(18, 1, False)]
+    keys = frame.selectExpr("0 AS block", "lower(name) AS key", "lower(name) AS sorted", "18 AS n", "1 AS cut")
+    parts = similarity.subsequences(keys, 1).where("length(part) = 17").groupBy("part").count()
+    assert parts.selectExpr("sum(count * (count - 1) DIV 2)").first()[0] < 2 * len(want)
+
+
+def test_fuzzy_lengths(spark):
+    random.seed(8)
+    names = ["".join(random.choice("aab ") for _ in range(n)) + "x" * k + "y" * (n % 3) for n in (3, 9, 14, 18) for k in (0, 3, 14, 17, 30, 90) for _ in range(2)]
+    names += [n[:-1] for n in names] + [n + "é" for n in names[:20]]
+    frame = spark.createDataFrame(list(enumerate(names)), f"{ROW_ID} long, name string")
+    keys = [" ".join(n.lower().split()) for n in names]
+    for t in (0.97, 0.93, 0.8):
+        got = {(r.index_a, r.index_b): r.similarity for r in similarity.fuzzy_pairs(frame, ["name"], t).collect()}
+        want = {}
+        for i, x in enumerate(keys):
+            for j in range(i + 1, len(keys)):
+                p, q = " ".join(sorted(x.split())), " ".join(sorted(keys[j].split()))
+                if x and keys[j] and x != keys[j] and 2 * min(len(p), len(q)) >= t * (len(p) + len(q)) - 1e-9:
+                    s = 2 * plain_lcs(p, q) / (len(p) + len(q))
+                    if s >= t - 1e-12:
+                        want[i, j] = s
+        assert set(got) == set(want)
+        assert all(abs(got[k] - want[k]) < 6e-4 for k in got)
+
+
+def test_fuzzy_copies(spark):
+    frame = spark.range(3700).selectExpr(f"id AS {ROW_ID}", "CASE WHEN id % 37 < 24 THEN 'large ring brand#7' WHEN id % 37 < 36 THEN 'large ring brand#8' ELSE 'old' END AS name")
+    got = similarity.fuzzy_pairs(frame, ["name"], 0.93, ordered=False)
+    assert "Sort [similarity" not in got._jdf.queryExecution().optimizedPlan().toString()
+    r = got.selectExpr("count(*) AS n", "count(DISTINCT index_a, index_b) AS d", "min(index_b - index_a) AS least", "count_if((index_a % 37 < 24) = (key_a LIKE '%7') AND (index_b % 37 < 24) = (key_b LIKE '%7') AND key_a <> key_b) AS fit").first()
+    assert (r.n, r.d, r.fit) == (2400 * 1200,) * 3 and r.least > 0
+
+
 def test_semantic(spark):
     frame = spark.createDataFrame(
         [(i, i + 1, f"u{i}@x.org", f"2024-01-{i % 28 + 1:02d}", "red" if i % 2 else "blue", i * 1000.5, f"text number {i}", None, f"{i}%", f"https://x.org/{i}") for i in range(40)],
