@@ -15,8 +15,8 @@ from .common import ROW_ID, col
 BITS = 62
 #: Longest keys whose subsequences with one, two and three characters less are listed: a thousand at most for each key.
 LISTED = (100, 32, 19)
-#: Rows of one key that go together when pairs of keys become pairs of rows.
-TOGETHER = 1024
+#: Rows of one key that go together when pairs of keys become pairs of rows; a task holds the pairs of two such lists at once.
+TOGETHER = 64
 
 
 def least_common(t: float) -> str:

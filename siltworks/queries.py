@@ -359,7 +359,7 @@ SELECT ia AS index_a, ib AS index_b, ka AS key_a, kb AS key_b, round(2.0 * commo
 
 @query("fuzzy_pairs", SQL_FUZZY.format("p_partkey", "concat_ws(' ', p_name, p_brand)", "part", 0.93))
 def _(s, d):
-    return similarity.fuzzy_pairs(table(s, d, "part").select(F.col("p_partkey").alias(ROW_ID), F.concat_ws(" ", "p_name", "p_brand").alias("name")), ["name"], 0.93)
+    return similarity.fuzzy_pairs(table(s, d, "part").select(F.col("p_partkey").alias(ROW_ID), F.concat_ws(" ", "p_name", "p_brand").alias("name")), ["name"], 0.93, ordered=False)
 
 
 @query("fuzzy_suppliers", SQL_FUZZY.format("s_suppkey", "s_name", "supplier", 0.9))
