@@ -8,10 +8,9 @@ import re
 import sys
 import types
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +22,9 @@ from .base import documents, ranked, release, settle
 CAPACITY = 4096
 END = 1
 #: Bytes of text that a worker takes at once, and pre-tokens in one call of the tokeniser.
-AT_ONCE, CALL = 2_000_000, 5_000
-#: Bytes of words and of pre-tokens, with their ids, that a worker remembers at a time; an entry counts OBJECT bytes besides.
-WORDS, PARTS, OBJECT = 96_000_000, 64_000_000, 150
+AT_ONCE, CALL = 8_000_000, 2_000
+#: Bytes of strings, with their ids, that a worker remembers at a time; an entry takes ENTRY bytes besides them.
+REMEMBERED, ENTRY = 160_000_000, 60
 #: Documents and gaps that one task matches in a round.
 SHARE = 20_000
 
@@ -36,38 +35,82 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def portions(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
-    """(doc_id, words) of documents, in lists of some AT_ONCE bytes of text."""
-    some, size = [], 0
-    for doc_id, text in rows:
-        body = text.encode() if isinstance(text, str) else b""
-        some.append((doc_id, body.split()))
-        size += len(body)
-        if size > AT_ONCE:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of some AT_ONCE bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right"))
+        yield texts.slice(at, max(to, at + 1) - at)
+        at = max(to, at + 1)
 
 
 #: Words whose pre-tokens are sure: ASCII and the precomposed letters of Latin-1, which no normalisation changes.
 _SURE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: In lower case, as the vocabulary's pre-tokeniser cuts them; a blank ends a word.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ a-z0-9\u00df-\u00f6\u00f8-\u00ff]+| ")
+#: In lower case, as the vocabulary's pre-tokeniser cuts them.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The same by bytes of UTF-8: blanks, letters (C3 and what follows it), digits, other signs; ODD ones are in no sure word.
+BLANK, LETTER, DIGIT, SIGN, ODD = range(5)
+_KIND = np.full(256, ODD, dtype=np.uint8)
+_KIND[0x21:0x7F] = SIGN
+_KIND[list(b" \t\n\x0b\f\r")] = BLANK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = LETTER
+_KIND[0x30:0x3A] = DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The strings whose ids, one after the other, are those of the texts, and before how many each text starts (and the last ends).
+
+    Words of sure characters are cut where the kind of character changes and before and after digits, in lower case, as the
+    pre-tokeniser does. Words that hold others, may hold a special token or one of its contractions stay as they are.
+    """
+    text = pa.large_string()
+    lines = pc.binary_join_element_wise(pc.fill_null(texts.cast(text), ""), pa.scalar("", text), pa.scalar("\n", text))
+    ends = np.frombuffer(lines.buffers()[1], dtype=np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    body = np.frombuffer(lines.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+    kind, low = _KIND[body], _LOWER[body]
+    kept, after = kind != BLANK, body[:-1] == 0xC3
+    next_ = body[1:]
+    low[1:][after & (next_ < 0x9F)] += 0x20
+    first = kept.copy()
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    odd = kind == ODD
+    odd[1:] |= (after & ((next_ == 0x97) | (next_ == 0xB7))) | ((body[:-1] == 0x3C) & (next_ == 0x7C)) | ((body[:-1] == 0x27) & (kind[1:] == LETTER))
+    if odd.any():
+        edges = np.flatnonzero(np.diff(kept, prepend=False))
+        word = np.unique(np.searchsorted(edges, np.flatnonzero(odd), side="right") - 1)
+        step = np.zeros(len(body), dtype=np.int8)
+        step[edges[word]], step[edges[word + 1]] = 1, -1
+        whole = np.cumsum(step, dtype=np.int8).view(bool)
+        np.copyto(low, body, where=whole)
+        first &= ~whole
+        first[edges[word]] = True
+    starts = np.append(np.flatnonzero(first[kept]), np.count_nonzero(kept))
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(low[kept])])
+    return found, np.searchsorted(np.flatnonzero(first), ends - ends[0])
+
+
+def sure(text: str) -> bool:
+    return text.isascii() and text.isalpha() or _SURE.fullmatch(text) is not None and "<|" not in text
 
 
 class WordIds:
-    """The ids of words, as little-endian bytes, remembered in bounded space.
+    """The ids of words, or of parts of words that were cut(), as little-endian bytes, remembered in bounded space.
 
-    Words are cut into lower-case pre-tokens by one pattern; only pre-tokens that are new are encoded, many in one call,
-    and the tokens that end pre-tokens tell them apart. Words outside _SURE, and those that may hold a special token, are
-    encoded whole, one by one.
+    Sure words are cut into lower-case pre-tokens by one pattern, and these encoded, many in one call, by the vocabulary's
+    model alone, as its normaliser and pattern leave them as they are; the tokens that end pre-tokens tell them apart. Words
+    outside _SURE, and those that may hold a special token, are encoded whole, one by one.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.path, self.ids, self.parts, self.size, self.parts_size, self.tok = path, {}, {}, 0, 0, Tokenizer.from_file(path)
+        self.path, self.ids, self.size, self.tok = path, {}, 0, Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tok.model)
+        by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_bytes])
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
@@ -76,40 +119,42 @@ class WordIds:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, new: list[str]) -> None:
-        for i in range(0, len(new), CALL):
-            some = new[i : i + CALL]
-            ids = np.asarray(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _parts(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), CALL):
+            some = texts[i : i + CALL]
+            ids = np.asarray(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(some):
                 body, cuts = ids.tobytes(), ((last + 1) * 4).tolist()
-                self.parts.update(zip(some, map(body.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
-                self.parts_size += len(body) + OBJECT * len(some)
+                out += map(body.__getitem__, map(slice, [0, *cuts], cuts))
             else:
-                self.parts.update(zip(some, self._whole(some), strict=True))
-                self.parts_size += 2 * OBJECT * len(some)
+                out += self._whole(some)
+        return out
+
+    def _remember(self, words: list[bytes], found: list[bytes]) -> None:
+        self.ids.update(zip(words, found, strict=True))
+        self.size += sum(map(sys.getsizeof, words)) + sum(map(sys.getsizeof, found)) + ENTRY * len(words)
 
     def learn(self, docs: list[list[bytes]]) -> None:
         """Afterwards `ids` has all words of these documents."""
         new = set(itertools.filterfalse(self.ids.__contains__, itertools.chain.from_iterable(docs)))
-        if self.size > WORDS and new:
+        if self.size > REMEMBERED and new:
             self.ids, self.size = {}, 0
             new = set(itertools.chain.from_iterable(docs))
-        if self.parts_size > PARTS:
-            self.parts, self.parts_size = {}, 0
-        texts = {w: w.decode() for w in new}
-        sure = [w for w, t in texts.items() if _SURE.fullmatch(t) and "<|" not in t]
-        found = _PARTS.findall(" ".join([texts[w] for w in sure]).lower())
-        self._learn_parts(list(set(found) - self.parts.keys() - {" "}))
-        known, at, ids = self.parts, 0, self.ids
-        ends = [k for k, x in enumerate(found) if x == " "] + [len(found)]
-        for w, to in zip(sure, ends, strict=False):
-            ids[w] = known[found[at]] if to - at == 1 else b"".join([known[x] for x in found[at:to]])
-            at = to + 1
-        odd = list(new.difference(sure))
-        for w, body in zip(odd, self._whole([texts[w] for w in odd]), strict=True):
-            ids[w] = body
-        self.size += sum(map(len, new)) * 3 + OBJECT * len(new)
+        whole, single, cuts = [], [], {}
+        for w, t in zip(new, b" ".join(new).decode().split(" "), strict=bool(new)):
+            if not sure(t):
+                whole.append(w)
+            elif len(parts := _PARTS.findall(t.lower())) == 1:
+                single.append(w)
+            else:
+                cuts[w] = parts
+        self._remember(whole, self._whole([w.decode() for w in whole]))
+        self._remember(single, self._parts([w.decode().lower() for w in single]))
+        parts = list(set(itertools.chain.from_iterable(cuts.values())))
+        known = dict(zip(parts, self._parts(parts), strict=True))
+        self._remember(list(cuts), [b"".join(map(known.__getitem__, c)) for c in cuts.values()])
 
 
 def worker_ids(path: str) -> WordIds:
@@ -123,28 +168,41 @@ def worker_ids(path: str) -> WordIds:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Tokenises whole texts; one row per piece: doc_id, piece, start, length, ids_crc32.
 
-    The vocabulary's pre-tokeniser never joins characters across white space, so ids are found per word between ASCII
-    blanks and remembered; what a worker remembers is bounded in bytes. A null text is empty and yields its end id alone; a
-    text of any length is tokenised whole.
+    The vocabulary's pre-tokeniser never joins characters across white space, so ids are found once per different part of
+    a word in some AT_ONCE bytes of texts, and remembered; what a worker remembers is bounded in bytes. A null text is empty
+    and yields its end id alone; a text of any length is tokenised whole.
     """
     path = tokenizer or vocabulary()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker_ids(path)
         end = END.to_bytes(4, "little")
         for b in batches:
-            out: list[tuple] = []
-            for some in portions(zip(b["doc_id"].to_numpy(dtype=object), b["text"], strict=True)):
-                known.learn([parts for _, parts in some])
-                for doc_id, parts in some:
-                    ids = b"".join(map(known.ids.__getitem__, parts)) + end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
-            yield got.assign(doc_id=got["doc_id"].astype("Int64"))
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
+            at = 0
+            for texts in portions(b.column("text")):
+                found, before = cut(texts)
+                coded = found.dictionary_encode()
+                words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+                known.learn([words])
+                ids = pa.array(map(known.ids.__getitem__, words), type=pa.large_binary(), size=len(words)).take(coded.indices)
+                cuts = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset :][before]
+                n = (cuts[1:] - cuts[:-1]) // 4 + 1
+                each = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), each)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+                start = piece * capacity
+                length = np.minimum(n[doc] - start, capacity)
+                first, last = cuts[doc] + 4 * start, np.minimum(cuts[doc] + 4 * (start + length), cuts[doc + 1])
+                body = memoryview(ids.buffers()[2] or b"")
+                crc = [zlib.crc32(body[i:j]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+                for k in (np.cumsum(each) - 1).tolist():
+                    crc[k] = zlib.crc32(end, crc[k])
+                doc_id = b.column("doc_id").take(pa.array(doc + at))
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(piece.astype(np.int32)), *map(pa.array, (start, length)), pa.array(crc, type=pa.int64())], names=names)
+                at += len(texts)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         encode, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 

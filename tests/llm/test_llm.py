@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -11,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,6 +442,53 @@ def test_packing_rounds(spark, share):
     assert all(known.ids[w] == np.array(tok.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words)
 
 
+class Plain:
+    """A frame whose mapInArrow() gives the function back."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, f, schema):
+        return f
+
+
+def test_packing_cuts_pre_tokens(spark, monkeypatch):
+    """Different pre-tokens are learned, not different words; any text has the ids of its whole, whatever the portions."""
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    tok = Tokenizer.from_file(packing.vocabulary())
+    with open(packing.vocabulary()) as f:
+        pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    own = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+    plain = ["", None, "The END, the end. (x1y22) ÀÉß\tÇa! ÞÖ naïve\n\n$$a.b ", "\x0b a<b | c> '9 '' end.THE\r\n"]
+    found, before = packing.cut(pa.array(plain))
+    found = [x.decode() for x in found.to_pylist()]
+    assert [found[i:j] for i, j in itertools.pairwise(before)] == [[x for x, _ in own.pre_tokenize_str(tok.normalizer.normalize_str(t or ""))] for t in plain]
+
+    def rows(texts, capacity, *cuts):
+        batch = pa.record_batch({"doc_id": pa.array([None, *range(1, len(texts))], pa.int64()), "text": pa.array(texts, pa.string())})
+        batches = [batch.slice(i, j - i) for i, j in itertools.pairwise([0, *cuts, len(texts)])]
+        return [tuple(x.values()) for b in packing.pieces(Plain(), capacity)(iter(batches)) for x in b.to_pylist()]
+
+    home = packing.worker_ids(packing.vocabulary())
+    home.ids, home.size = {}, 0
+    rows([" ".join(f"{sign}{word}{sign}{end}" for word in ("abc", "Abc", "déf", "DÉF") for sign in ("", "(", "$$") for end in (".", "!", "9"))], 4096)
+    assert len(home.ids) <= 15
+
+    r = random.Random(5)
+    odd = ["Don't", "I'LL", "''s", "a$$$", "<|endoftext|>", "<|STARTOFTEXT|>y", "<|", "1²½", "ﬁ", "İ", "ſ", "e\u0301", "\u0301", "a\u0085b", "\x1c", "\x00", "漢字9", "it's!'re", "×a÷", "Σς", "\u00a0", "x'y", "é", "A1"]
+    texts = [None, "", *("".join(r.choice(odd) + r.choice(["", "", " ", "\n", "  "]) for _ in range(r.randint(1, 60))) for _ in range(300))]
+    for once, capacity in ((500, 16), (8_000_000, 4096)):
+        monkeypatch.setattr(packing, "AT_ONCE", once)
+        want = []
+        for i, t in enumerate(texts):
+            ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+            for k in range(0, len(ids), capacity):
+                part = np.array(ids[k : k + capacity], dtype="<u4")
+                want.append((i or None, k // capacity, k, len(part), zlib.crc32(part.tobytes())))
+        assert rows(texts, capacity, 0, 90) == want
+
+
 def test_sweep_is_best_fit_decreasing():
     r = random.Random(9)
     for _ in range(40):
